@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import mixing
+from loomcorpus.llm import mixing, packing
 from loomcorpus.llm.shared import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,14 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
   (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) + greatest(0, least(size, quota - 2 * source_size - start)))::BIGINT AS taken
 FROM p
 """
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), Scratch(spark, "op10")).drop("filled")
