@@ -272,14 +272,16 @@ def packed(docs: DataFrame, path: str, scratch: Scratch, capacity: int = CAPACIT
     left = scratch.keep(token_pieces(docs, path, capacity))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
     done: DataFrame | None = None
-    for level in range(8):
-        shards = max(1, -(-left.count() // shard))
-
+    level, n = 0, left.count()
+    while True:
+        shards = 1 if n <= 2 * shard else -(-n // shard)
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.lit(level)), F.lit(shards)))
         out = scratch.keep(dealt.groupBy("shard").applyInArrow(_packer(level, capacity), schema))
-        if shards == 1:
+        open_ = F.col("filled") < int(capacity * enough)
+        rest = 0 if shards == 1 else out.where(open_).count()
+        # dealing on ends when one shard held all, or when most documents came back
+        if rest == 0 or rest > n // 2:
             return out if done is None else done.unionByName(out)
-        full = out.where(F.col("filled") >= int(capacity * enough))
+        full = out.where(~open_)
         done = full if done is None else done.unionByName(full)
-        left = out.where(F.col("filled") < int(capacity * enough)).drop("sequence_id", "offset", "filled")
-    return done.unionByName(out.where(F.col("filled") < int(capacity * enough)))
+        left, n, level = out.where(open_).drop("sequence_id", "offset", "filled"), rest, level + 1
