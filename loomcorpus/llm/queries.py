@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import mixing, packing
+from loomcorpus.llm import mixing, packing, toxicity
 from loomcorpus.llm.shared import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), Scratch(spark, "op10")).drop("filled")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op6")))
