@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import mixing, packing, simhash, toxicity
+from loomcorpus.llm import embed_dedup, mixing, packing, simhash, toxicity
 from loomcorpus.llm.shared import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.linked(table(spark, sf_dir, "embeddings"), Scratch(spark, "op1"))
