@@ -49,6 +49,8 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
 
+        self.signs = {c: self.whole(c) for c in ".,;:!?"}
+
     def whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -74,8 +76,8 @@ class WordEncoder:
             if w not in seen:
                 # a word and one sign after it are two words to the tokenizer
                 stem, sign = w[:-1], w[-1]
-                if sign in ".,;:!?" and stem.isalpha() and stem in seen:
-                    seen[w] = seen[stem] + (seen.get(sign) or self.whole(sign))
+                if sign in self.signs and stem in seen and stem.isalpha():
+                    seen[w] = seen[stem] + self.signs[sign]
                 else:
                     seen[w] = self.whole(w)
 
@@ -104,12 +106,11 @@ class WordEncoder:
             split.append(words)
             if words:
                 new.update(words)
-        new.difference_update(self.seen)
+        new = new.difference(self.seen)
         if new:
             # stems first, so that a word with a sign finds its stem
-            stems = {w[:-1] for w in new if w[-1] in ".,;:!?" and w[:-1].isalpha()}
-            stems.difference_update(self.seen)
-            self._learn(list(stems | new))
+            stems = {w[:-1] for w in new if w[-1] in self.signs and w[:-1].isalpha()}
+            self._learn(list(stems.difference(self.seen) | new))
         get = self.seen.__getitem__
         for t, words in zip(texts, split, strict=True):
             yield self.whole(t) if words is None else b"".join(map(get, words))
