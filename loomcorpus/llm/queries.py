@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import embed_dedup, mixing, packing, simhash, toxicity
+from loomcorpus.llm import embed_dedup, mixing, packing, simhash, spans, topk, toxicity
 from loomcorpus.llm.shared import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.linked(table(spark, sf_dir, "embeddings"), Scratch(spark, "op1"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.removed_ranges(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
+@query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    return topk.nearest(codes, codes.where("id % 100 = 0"), Scratch(spark, "op5"))
+
+
+ORACLE["op5_exact_topk"] = """
+WITH d AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id,
+    list_sum(list_transform(range(1, 65), lambda i: ((q.embedding[i] > 0) <> (e.embedding[i] > 0))::INT))::INT AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank FROM d)
+SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
+"""
