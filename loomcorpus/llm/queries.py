@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import embed_dedup, mixing, packing, simhash, spans, topk, toxicity
+from loomcorpus.llm import embed_dedup, mixing, packing, simhash, spans, token_rollup, topk, toxicity, url_filter
 from loomcorpus.llm.shared import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,100 @@ WITH d AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank FROM d)
 SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
 """
+
+
+@query
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, takes down labelled toxic ones, revises those with repeated lines
+    and counts the rest under a second tokenizer; two batches are sent again."""
+    scratch = Scratch(spark, "op7")
+    words = mixing.word_count(F.col("text"))
+    once = mixing.word_count(F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    pieces = F.coalesce(F.regexp_count("text", F.lit(r"[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]")), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", words.alias("words"), once.alias("once"), pieces.alias("pieces"))
+    docs = scratch.keep(docs)
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    live = docs.join(toxic, "doc_id", "left_anti")
+
+    def batch(rows: DataFrame, version: str, tokens, deleted: bool = False) -> DataFrame:
+        return rows.select("doc_id", F.lit(version).alias("version"), "source", "lang", tokens.cast("long").alias("tokens"), F.lit(deleted).alias("deleted"), F.lit(1).alias("seq"))
+
+    load = batch(docs, "words-1", F.col("words"))
+    revise = batch(live.where("once <> words"), "words-1", F.col("once"))
+    rollup = token_rollup.Rollup(spark, f"{scratch.root}/rollup")
+    rollup.commit("1-load", load)
+    rollup.commit("2-takedown", batch(docs.join(toxic, "doc_id", "left_semi"), "words-1", F.col("words"), True))
+    rollup.commit("3-revise", revise)
+    rollup.commit("4-pieces", batch(live, "pieces-1", F.col("pieces")))
+    rollup.commit("3-revise", revise)
+    rollup.commit("1-load", load)
+    return rollup.totals()
+
+
+ORACLE["op7_token_rollup"] = r"""
+WITH c AS (
+  SELECT doc_id, source, lang,
+    len(regexp_extract_all(array_to_string(list_distinct(string_split(text, chr(10))), chr(10)), '[^\x20\x09-\x0D]+')) AS once,
+    len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]')) AS pieces
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+)
+SELECT source, lang, 'words-1' AS version, count(*)::BIGINT AS docs, coalesce(sum(once), 0)::BIGINT AS tokens FROM c GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*)::BIGINT, coalesce(sum(pieces), 0)::BIGINT FROM c GROUP BY source, lang
+"""
+
+#: A fixed day-of-log rule for every host, so both engines make the same list.
+LIST_LOG = r"""
+WITH hosts AS (
+  SELECT DISTINCT {host} AS host FROM pages WHERE url IS NOT NULL
+), h AS (
+  SELECT host, ascii(substring(md5(host), 1, 1)) AS a, ascii(substring(md5(host), 2, 1)) AS b, ascii(substring(md5(host), 3, 1)) AS c, ascii(substring(md5(host), 4, 1)) AS d
+  FROM hosts WHERE host IS NOT NULL AND host <> ''
+)
+SELECT 'spam' AS list, 'domain' AS kind, host AS pattern, 'add' AS action, (a * 7 + b * 13) % 300 AS day FROM h
+UNION ALL SELECT 'spam', 'domain', host, 'remove', (a * 7 + b * 13) % 300 + 40 FROM h WHERE c % 2 = 0
+UNION ALL SELECT 'spam', 'domain', host, 'add', (a * 7 + b * 13) % 300 + 80 FROM h WHERE d % 3 = 0
+UNION ALL SELECT 'languages', 'prefix', concat(host, '/de'), 'add', (c * 11 + d) % 365 FROM h
+UNION ALL SELECT 'languages', 'prefix', concat(host, '/fr'), 'add', (b * 11 + d) % 200 FROM h
+UNION ALL SELECT 'languages', 'prefix', concat(host, '/fr'), 'remove', (b * 11 + d) % 200 + 100 FROM h
+UNION ALL SELECT 'parents', 'domain', 'example.net', 'add', 100
+UNION ALL SELECT 'parents', 'domain', 'example.net', 'remove', 160
+UNION ALL SELECT 'parents', 'domain', 'example.net', 'add', 300
+"""
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is a capture, fetched on a day that its id gives."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages.createOrReplaceTempView("loom_op8_pages")
+    host = rf"regexp_extract(lower(url), r'{url_filter.HOST}', 1)"
+    log = spark.sql(LIST_LOG.format(host=host).replace("FROM pages", "FROM loom_op8_pages")).withColumnRenamed("day", "at")
+    captures = pages.withColumn("fetched_at", F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int"))
+    out = url_filter.judged(captures, log)
+    return out.select("page_id", "url", "fetched_at", "blocked", "hits", F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("listed_since", F.lit(-1)).alias("listed_since"))
+
+
+ORACLE["op8_url_filter"] = (
+    "WITH log AS ("
+    + LIST_LOG.format(host=rf"regexp_extract(lower(url), '{url_filter.HOST}', 1)")
+    + r"""
+), state AS (SELECT list, kind, pattern, day, min((action = 'add')::INT) AS is_on FROM log GROUP BY ALL),
+change AS (SELECT *, lag(is_on, 1, 0) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS was FROM state),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS until FROM change WHERE is_on <> was),
+active AS (SELECT * FROM spans WHERE is_on = 1),
+captures AS (
+  SELECT page_id, url, (page_id * 37 % 365)::INT AS fetched_at, regexp_extract(lower(url), '"""
+    + url_filter.HOST
+    + r"""', 1) AS host, regexp_extract(lower(url), '"""
+    + url_filter.FIRST
+    + r"""', 1) AS path FROM pages
+), met AS (
+  SELECT c.page_id, a.list, a.day FROM captures c JOIN active a
+    ON (a.kind = 'domain' AND (c.host = a.pattern OR ends_with(c.host, '.' || a.pattern)) OR a.kind = 'prefix' AND c.path <> '' AND c.host || c.path = a.pattern)
+    AND a.day <= c.fetched_at AND (a.until IS NULL OR c.fetched_at < a.until)
+), found AS (SELECT page_id, count(*) AS hits, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(day) AS listed_since FROM met GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched_at, coalesce(hits, 0) > 0 AS blocked, coalesce(hits, 0)::BIGINT AS hits, coalesce(lists, '') AS lists, coalesce(listed_since, -1)::INT AS listed_since
+FROM captures c LEFT JOIN found USING (page_id)
+"""
+)
