@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import embed_dedup, mixing, packing, simhash, spans, token_rollup, topk, toxicity, url_filter
+from loomcorpus.llm import embed_dedup, line_dedup, mixing, packing, simhash, spans, token_rollup, topk, toxicity, url_filter
 from loomcorpus.llm.shared import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,8 @@ SELECT c.page_id, c.url, c.fetched_at, coalesce(hits, 0) > 0 AS blocked, coalesc
 FROM captures c LEFT JOIN found USING (page_id)
 """
 )
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.grouped(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
