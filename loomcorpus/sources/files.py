@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomcorpus.operators.images import header_size
+
 EXTRA = "_extra"
 
 
@@ -33,9 +36,6 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.jpg", recursive:
 
 def listing_with_sizes(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:
     """(path, length, width, height): picture sizes from headers; null where unreadable."""
-    import pandas as pd
-
-    from loomcorpus.operators.images import header_size
 
     @F.pandas_udf("width int, height int")
     def sizes(content: pd.Series) -> pd.DataFrame:
