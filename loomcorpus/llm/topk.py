@@ -49,12 +49,13 @@ def nearest(codes: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10)
     best: DataFrame | None = None
     ended: list[DataFrame] = []
     for r in range(WIDTH + 1):
-        probes = active.withColumn("masks", _mask_array(r))
+        # many rows from few: dealt out first, and joined by sorting whatever the planner expects
+        probes = active.repartition(codes.sparkSession.sparkContext.defaultParallelism, "q").withColumn("masks", _mask_array(r))
         probes = probes.select("q", "bound", F.explode("masks").alias("mask"))
         probes = probes.select("q", "bound", F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), _segment(F.col("q"), j).bitwiseXOR(F.col("mask")).alias("value")) for j in range(SEGMENTS)])).alias("at")).select("q", "bound", "at.seg", "at.value")
         x = F.col("q").bitwiseXOR(F.col("code"))
         own = F.coalesce(*[F.when((F.col("seg") == j) & _first_nearest(x, j, r), F.lit(True)) for j in range(SEGMENTS)], F.lit(False))
-        hits = probes.join(index, ["seg", "value"]).where((F.bit_count(x) <= F.col("bound")) & own).select("q", "code", "least", "size", F.bit_count(x).cast("int").alias("distance"))
+        hits = probes.join(index.hint("merge"), ["seg", "value"]).where((F.bit_count(x) <= F.col("bound")) & own).select("q", "code", "least", "size", F.bit_count(x).cast("int").alias("distance"))
         if best is not None:
             hits = hits.unionByName(best.join(active.select("q"), "q", "left_semi").select(*hits.columns))
         order = W.partitionBy("q").orderBy("distance", "least")
