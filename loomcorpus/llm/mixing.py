@@ -86,7 +86,7 @@ class Mixture:
         slots = slots.withColumn("part", F.floor(F.col("slot") / chunk))
         inner = slots.withColumn("r", F.row_number().over(W.partitionBy("src", "part").orderBy("slot")))
         ahead = slots.groupBy("src", "part").count().withColumn("ahead", F.coalesce(F.sum("count").over(W.partitionBy("src").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        self.slots = scratch.keep(inner.join(ahead.drop("count"), ["src", "part"]).select("slot", "src", (F.col("ahead") + F.col("r") - 1).cast("long").alias("r")))
+        self.slots = scratch.keep(inner.join(ahead.drop("count").hint("merge"), ["src", "part"]).select("slot", "src", (F.col("ahead") + F.col("r") - 1).cast("long").alias("r")))
 
         # documents at their places in the repeating streams, cut at block borders
         placed = rows.join(totals.drop("words"), ["src", "bucket"]).select("doc_id", "src", "size", "__hash", "key", "occ", (F.col("offset") + F.col("before")).alias("start"))
@@ -97,7 +97,7 @@ class Mixture:
         turns = turns.withColumn("low", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("high", F.least(F.col("low") + F.col("size"), F.col("quota"))).where("low < high")
         cut = turns.withColumn("r", F.explode(F.sequence(F.floor(F.col("low") / self.block).cast("long"), F.floor((F.col("high") - 1) / self.block).cast("long"))))
         cut = cut.select("doc_id", "src", "key", "occ", "turn", "r", F.greatest("low", F.col("r") * self.block).alias("low"), F.least("high", (F.col("r") + 1) * self.block).alias("high"), F.col("low").alias("first"))
-        self.parts = cut.join(self.slots, ["src", "r"]).select("slot", "doc_id", "src", "key", "occ", "turn", (F.col("low") - F.col("first")).alias("word_from"), (F.col("high") - F.col("low")).alias("words"))
+        self.parts = cut.join(self.slots.hint("merge"), ["src", "r"]).select("slot", "doc_id", "src", "key", "occ", "turn", (F.col("low") - F.col("first")).alias("word_from"), (F.col("high") - F.col("low")).alias("words"))
         taken = self.parts.groupBy("src", "key", "occ").agg(F.sum("words").alias("taken"))
         self.taken = placed.join(taken, ["src", "key", "occ"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 

@@ -165,7 +165,7 @@ def grouped(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int = 4
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     keyed = classes.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(shared, "key").withColumn("parts", F.ceil(F.col("n") / part).cast("long"))
+    dealt = keyed.join(shared.hint("merge"), "key").withColumn("parts", F.ceil(F.col("n") / part).cast("long"))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("pa"), F.greatest("side", "other").alias("pb"), "side", "fp")
