@@ -6,6 +6,8 @@ and the driver see, so that a lost executor never costs more than the stage it w
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomcorpus-")
+        local = tempfile.mkdtemp(prefix="loomcorpus-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -37,14 +41,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this folder that nothing will read again."""
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if path.rsplit("/", 2)[-2].startswith(self.root.rsplit("/", 1)[1]):
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id on an edge; component is the smallest id reachable.
