@@ -230,12 +230,12 @@ def cluster_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {CLUSTERS}, m AS (SELECT o_orderkey, (o_orderkey // 2) || '.jpg' AS image_id, o_orderpriority AS title, year(o_orderdate)::INT AS year, o_orderstatus AS categories, 'x/' || (o_orderkey // 2) || '.jpg/' AS thumbnail_path FROM orders WHERE o_orderstatus <> 'P'),
 f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY o_orderkey) = 1)
-SELECT c.image_id, coalesce(title, '') AS title, year, coalesce(categories, '') AS categories, coalesce(thumbnail_path, '') AS thumbnail_path, cluster_id, cluster_probability FROM c LEFT JOIN f USING (image_id)
+SELECT c.image_id, coalesce(title, '') AS title, coalesce(year, 0)::INT AS year, coalesce(categories, '') AS categories, coalesce(thumbnail_path, '') AS thumbnail_path, cluster_id, cluster_probability FROM c LEFT JOIN f USING (image_id)
 """)
 def cluster_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     meta = orders.select("o_orderkey", F.col("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("categories"), F.concat(F.lit("x/"), F.floor(F.col("o_orderkey") / 2).cast("string"), F.lit(".jpg/")).alias("thumbnail_path"))
-    return tables.cluster_assignments(_clusters(spark, sf_dir), meta, "o_orderkey")
+    return tables.cluster_assignments(_clusters(spark, sf_dir), meta, "o_orderkey").withColumn("year", F.coalesce("year", F.lit(0)))
 
 
 @query(f"""
