@@ -80,37 +80,41 @@ def band_keys(lines: DataFrame, n: int, bands: int, rows: int, seed: int = 1) ->
 
 
 def bitmaps(texts: DataFrame, n: int) -> DataFrame:
-    """(key, text, bits): the shingles of each text hashed into a bitmap of ``BITS`` bits."""
+    """(key, text, bits, ones): the shingles of each text hashed into a bitmap of ``BITS`` bits."""
     wide = texts.select("key", F.encode("text", "UTF-32").alias("wide"), F.length("text").alias("chars"))
     pieces = wide.select("key", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chars") - n, F.lit(0)))).alias("i")).select("key", F.xxhash64(F.substring("wide", 4 * F.col("i") + 1, F.lit(4 * n))).alias("h"))
     place = pieces.select("key", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     words = [F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(BITS // 64)]
     made = place.groupBy("key").agg(*words).select("key", F.array(*[F.col(f"w{w}") for w in range(BITS // 64)]).alias("bits"))
-    return texts.join(made, "key")
+    return texts.join(made.withColumn("ones", filled(F.col("bits"))), "key")
 
 
 def _ones(words: list[Column]) -> Column:
     return sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
 
 
-def may_be_alike(x: Column, y: Column, similarity: float) -> Column:
+def filled(bits: Column) -> Column:
+    """Bits that are set in a bitmap."""
+    return _ones([F.get(bits, F.lit(k)) for k in range(BITS // 64)])
+
+
+def may_be_alike(x: Column, y: Column, in_x: Column, in_y: Column, similarity: float) -> Column:
     """Whether two bitmaps allow the similarity: their estimate is near it, or they are too full to tell.
 
-    The estimate's error has a deviation of about 0.015 for some hundred shingles and less for
-    fewer; ``SLACK`` is twice that.
+    in_x and in_y: their bits that are set. The estimate's error has a deviation of about 0.015
+    for some hundred shingles and less for fewer; ``SLACK`` is twice that.
     """
-    a, b = ([F.get(v, F.lit(k)) for k in range(BITS // 64)] for v in (x, y))
     count = lambda ones: -BITS * F.log(1.0 - F.least(ones, F.lit(BITS - 1)) / float(BITS))
-    either = _ones([p.bitwiseOR(q) for p, q in zip(a, b, strict=True)])
-    joint = count(either)
-    return (either > BITS * 2 // 3) | (count(_ones(a)) + count(_ones(b)) - joint >= (similarity - SLACK) * joint)
+    both = _ones([F.get(x, F.lit(k)).bitwiseAND(F.get(y, F.lit(k))) for k in range(BITS // 64)])
+    either = in_x + in_y - both
+    return (either > BITS * 2 // 3) | (count(in_x) + count(in_y) >= (1 + similarity - SLACK) * count(either))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """The (a, b) pairs of lines whose shingle sets have at least that Jaccard similarity."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"), F.col("bits").alias("p"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"), F.col("bits").alias("q"))
-    near = pairs.join(left, "a").join(right, "b").where(may_be_alike(F.col("p"), F.col("q"), similarity))
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"), F.col("bits").alias("p"), F.col("ones").alias("m"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"), F.col("bits").alias("q"), F.col("ones").alias("n"))
+    near = pairs.join(left, "a").join(right, "b").where(may_be_alike(F.col("p"), F.col("q"), F.col("m"), F.col("n"), similarity))
     return near.where(similarity_of(F.col("x"), F.col("y"), n) >= similarity).select("a", "b")
 
 
@@ -133,7 +137,8 @@ def grouped(docs: DataFrame, scratch: Scratch, shingle: int = 8, similarity: flo
 def _grouped(unique: DataFrame, places: DataFrame, scratch: Scratch, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
     # dealt once by band, for its leader and for the join with it
     dealt = band_keys(unique, shingle, bands, rows).repartition("band")
-    several = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # over the key, so that both uses read the same shuffle
+    several = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").drop("lo", "hi")
     shared = scratch.keep(dealt.join(several.hint("merge"), "band"))
     # a line that meets many others is likely what they were copied from: it leads its bands
     meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
@@ -165,10 +170,12 @@ def _grouped(unique: DataFrame, places: DataFrame, scratch: Scratch, shingle: in
         tried = ordered(asked.join(other, ["band", "next"]).where("component <> next_component and key <> leader").select(F.col("key").alias("a"), F.col("next").alias("b")))
         links = scratch.keep(links.unionByName(_verified(tried, texts, shingle, similarity)))
         members = open_bands(connected_components(links, scratch))
-        others = members.where("key <> leader").join(texts.select("key", "bits"), "key")
-        x = others.select("band", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("p"))
-        y = others.select("band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("q"))
-        rest = ordered(x.join(y, "band").where(F.expr("a < b and ca <> cb") & may_be_alike(F.col("p"), F.col("q"), similarity)).select("a", "b"))
+        others = members.where("key <> leader").join(texts.select("key", "bits", "ones"), "key")
+        # pairs are many for few bytes: as many tasks as partitions, however small these are
+        others = others.repartition(int(others.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
+        x = others.select("band", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("p"), F.col("ones").alias("m"))
+        y = others.select("band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("q"), F.col("ones").alias("n"))
+        rest = ordered(x.join(y, "band").where(F.expr("a < b and ca <> cb") & may_be_alike(F.col("p"), F.col("q"), F.col("m"), F.col("n"), similarity)).select("a", "b"))
         links = scratch.keep(links.unionByName(_verified(rest, texts, shingle, similarity)))
         component = connected_components(links, scratch)
 
