@@ -45,27 +45,22 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.run(_vectors(spark, sf_dir), "vec_id", "embedding", method="kmeans", components=20, k=10).assignments
 
 
-def _some(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The methods of bounded size run on the means of equal-sized groups of vectors, over all rows."""
-    v = _vectors(spark, sf_dir)
-    groups = v.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("item"), "label", F.posexplode("embedding").alias("i", "x"))
-    means = groups.groupBy("item", "label", "i").agg(F.avg("x").alias("x"))
-    return means.groupBy("item", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec")).select((F.col("item") * 100 + F.col("label")).alias("item"), "vec")
-
-
 @_query
 def hdbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.run(_some(spark, sf_dir, 60), "item", "vec", method="hdbscan", components=20, min_cluster_size=5, min_samples=3, selection="eom").assignments
+    """Every vector of the table; refused above the operator's limit."""
+    return clustering.run(_vectors(spark, sf_dir), "vec_id", "embedding", method="hdbscan", components=20, min_cluster_size=5, min_samples=3, selection="eom").assignments
 
 
 @_query
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.run(_some(spark, sf_dir, 60), "item", "vec", method="agglomerative", components=20, k=10).assignments
+    """Every vector of the table; refused above the operator's limit."""
+    return clustering.run(_vectors(spark, sf_dir), "vec_id", "embedding", method="agglomerative", components=20, k=10).assignments
 
 
 @_query
 def umap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.run(_some(spark, sf_dir, 30), "item", "vec", method="kmeans", components=20, k=10, layout=True).assignments
+    """Every vector of the table; refused above the operator's limit."""
+    return clustering.run(_vectors(spark, sf_dir), "vec_id", "embedding", method="kmeans", components=20, k=10, layout=True).assignments
 
 
 QUERY_IDS = "vec_id % 100 = 0"
