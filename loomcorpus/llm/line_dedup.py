@@ -3,11 +3,10 @@
 Lines are compared lower-cased and trimmed; equal ones are one class from the start. A line's
 set is its character shingles. Its signature is, for each of ``bands * rows`` fixed points of
 the 64-bit hash space, the shingle hash nearest to that point by XOR; two sets agree on a point
-with the probability of their Jaccard similarity. Lines of many words are signed by the shingles
-that start a word, lines of few by all, and those in between both ways, so lines that are alike
-always have a signature of one kind in common. Lines that share a band are candidates; the exact
-Jaccard similarity over all shingles decides. Links join into components, of which the first
-line by (doc_id, line number) stays.
+with the probability of their Jaccard similarity. Every line is signed by all of its shingles,
+the set that similarity is over. Lines that share a band are candidates; the exact Jaccard
+similarity decides. Links join into components, of which the first line by (doc_id, line number)
+stays.
 
 A band shared by many different lines is first compared with the one that meets most others, then
 with the next outside that line's component; pairs that are then still of different components are compared
@@ -32,8 +31,6 @@ from pyspark.sql import functions as F
 from loomcorpus.llm.shared import Scratch, connected_components
 
 LAST = 2**63 - 1
-#: Lines of fewer words (between spaces) than MANY are signed by all shingles, of FEW or more by those at words.
-FEW, MANY = 12, 16
 #: Bits of a line's bitmap, and how far below the similarity its estimate may be.
 BITS, SLACK = 2048, 0.03
 
@@ -60,30 +57,25 @@ def similarity_of(x: Column, y: Column, n: int) -> Column:
     return F.transform(shared, lambda s: s["both"] / (s["sum"] - s["both"]))[0]
 
 
+def _exploded(texts: DataFrame, n: int) -> DataFrame:
+    """(key, h) of every shingle of (key, text) rows."""
+    wide = texts.select("key", F.encode("text", "UTF-32").alias("wide"), F.length("text").alias("chars"))
+    pieces = wide.select("key", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chars") - n, F.lit(0)))).alias("i"))
+    return pieces.select("key", F.xxhash64(F.substring("wide", 4 * F.col("i") + 1, F.lit(4 * n))).alias("h"))
+
+
 def band_keys(lines: DataFrame, n: int, bands: int, rows: int, seed: int = 1) -> DataFrame:
     """(key, band) rows of the signatures of (key, text) lines; one task has all of a key."""
     rng = random.Random(seed)
     points = [rng.getrandbits(64) - 2**63 for _ in range(bands * rows)]
-    sized = lines.select("key", "text", F.split("text", " ").alias("words"))
-    long = sized.where(F.size("words") >= FEW).select("key", "words", F.posexplode("words").alias("i", "word")).where("word <> ''")
-    piece = F.substring(F.concat("word", F.lit(" "), F.coalesce(F.get("words", F.col("i") + 1), F.lit(""))), 1, n)
-    long = long.select("key", F.lit(1).alias("kind"), F.xxhash64(piece).alias("h"))
-    short = sized.where(F.size("words") < MANY).select("key", F.encode("text", "UTF-32").alias("wide"), F.length("text").alias("chars"))
-    short = short.select("key", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chars") - n, F.lit(0)))).alias("i")).select("key", F.lit(0).alias("kind"), F.xxhash64(F.substring("wide", 4 * F.col("i") + 1, F.lit(4 * n))).alias("h"))
-
-    def signed(part: DataFrame) -> DataFrame:
-        mins = part.groupBy("key", "kind").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(points)])
-        found = [F.xxhash64(F.col("kind"), F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-        return mins.select("key", F.explode(F.array(*found)).alias("band"))
-
-    return signed(long).unionAll(signed(short))
+    mins = _exploded(lines, n).groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(points)])
+    found = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
+    return mins.select("key", F.explode(F.array(*found)).alias("band"))
 
 
 def bitmaps(texts: DataFrame, n: int) -> DataFrame:
     """(key, text, bits, ones): the shingles of each text hashed into a bitmap of ``BITS`` bits."""
-    wide = texts.select("key", F.encode("text", "UTF-32").alias("wide"), F.length("text").alias("chars"))
-    pieces = wide.select("key", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chars") - n, F.lit(0)))).alias("i")).select("key", F.xxhash64(F.substring("wide", 4 * F.col("i") + 1, F.lit(4 * n))).alias("h"))
-    place = pieces.select("key", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    place = _exploded(texts, n).select("key", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     words = [F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(BITS // 64)]
     made = place.groupBy("key").agg(*words).select("key", F.array(*[F.col(f"w{w}") for w in range(BITS // 64)]).alias("bits"))
     return texts.join(made.withColumn("ones", filled(F.col("bits"))), "key")

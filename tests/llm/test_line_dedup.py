@@ -47,3 +47,44 @@ def test_components_equal_brute_force(spark):
         left = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
         assert r.text == left and r.n_chars == (7 if left == t else len(left))
     assert line_dedup.grouped(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_bands_find_lines_of_unlike_words(spark):
+    """At the production bands: pairs around 12 and 16 words, and pairs with one long token."""
+    rng = random.Random(5)
+
+    def word(low, high):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(low, high)))
+
+    def shingles(t):
+        return {t[k : k + 8] for k in range(max(1, len(t) - 7))}
+
+    def jaccard(x, y):
+        return len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+
+    def border():
+        x = " ".join(word(7, 11) for _ in range(11))
+        return x, x + "".join(f" {word(1, 2)}" for _ in range(5))
+
+    def long_token():
+        words, token = [word(2, 7) for _ in range(20)], word(240, 300)
+        other = list(words)
+        for k in rng.sample(range(20), 3):
+            other[k] = word(2, 7)
+        return " ".join([*words, token]), " ".join([*other, token])
+
+    pairs = []
+    for make in (border, long_token):
+        some = []
+        while len(some) < 100:
+            x, y = make()
+            if jaccard(x, y) >= 0.8:
+                some.append((x, y))
+        pairs += some
+    texts = [t for pair in pairs for t in pair]
+    rows = line_dedup.band_keys(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), 8, 8, 4).collect()
+    bands = {}
+    for r in rows:
+        bands.setdefault(r.key, set()).add(r.band)
+    found = [bool(bands[2 * k] & bands[2 * k + 1]) for k in range(len(pairs))]
+    assert sum(found[:100]) >= 95 and sum(found[100:]) >= 95
