@@ -2,7 +2,7 @@
 
 Documents are tokenized on the executors; only piece lengths and checksums travel on. Pieces are
 dealt by hash into shards of bounded size; each shard is packed by best fit and then improved by
-exchanges until it needs no more sequences than its tokens fill, or no exchange helps. The
+exchanges until it needs no more sequences than its tokens fill, or no exchange is left that helps. The
 documents of sequences that stay underfull are dealt anew, into fewer shards, until one is left.
 
 Defined cases: a null or empty text is the single id that ends a document; a null ``doc_id`` and
@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from heapq import nlargest
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,14 +142,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY, steps: int = 400, givers: int = 40) -> list[list[int]]:
+def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of indexes into ``lengths``: best fit from the longest, then local search.
 
     The search takes the emptiest bins in turn and moves one of their documents into a fuller
     underfull bin, or exchanges one for one or two shorter ones, or two for one longer in
     between; every step raises the sum of squared fills. It ends when the bins are as few as
-    the sum of lengths allows, when the ``givers`` emptiest bins have no step left, or after
-    ``steps`` (every document stays packed).
+    the sum of lengths allows, or when no underfull bin has a step left. Bins of the same
+    lengths are one kind, and a pair of kinds without a step is not tried again.
     """
     bins: list[list[tuple[int, int]]] = []
     slack: list[int] = []
@@ -179,66 +178,115 @@ def pack(lengths: list[int], capacity: int = CAPACITY, steps: int = 400, givers:
         return [[i for _, i in b] for b in bins]
     for b in bins:
         b.sort()
-    under = {b for b in range(len(bins)) if slack[b]}
-    for _ in range(steps):
-        if alive <= least or len(under) < 2:
-            break
-        for low in nlargest(givers, under, key=lambda b: (slack[b], -b)):
-            if step := _step(bins, slack, under, low):
-                break
+    # kinds of underfull bins; met: kinds by the time they got a first or second bin
+    number: dict[tuple[int, ...], int] = {}
+    kinds: list[tuple[int, ...]] = []
+    members: list[list[int]] = []
+    tried: list[int] = []
+    met: list[int] = []
+    live: list[set[int]] = [set() for _ in range(capacity + 1)]
+
+    def enter(b: int) -> None:
+        if not slack[b] or not bins[b]:
+            return
+        kind = tuple(n for n, _ in bins[b])
+        k = number.setdefault(kind, len(kinds))
+        if k == len(kinds):
+            kinds.append(kind)
+            members.append([])
+            tried.append(0)
+        members[k].append(b)
+        if len(members[k]) <= 2:
+            met.append(k)
+        live[slack[b]].add(k)
+
+    def leave(k: int) -> int:
+        b = members[k].pop()
+        if not members[k]:
+            live[slack[b]].discard(k)
+        return b
+
+    def others(k: int, s: int) -> Iterator[tuple[int, int]]:
+        """(room, kind) that k has not been tried with; the first time by falling room."""
+        if tried[k]:
+            for other in dict.fromkeys(met[tried[k] :]):
+                if len(members[other]) > (other == k) and (r := slack[members[other][0]]) <= s:
+                    yield r, other
         else:
-            break
-        give, other, take = step
-        for x in give:
-            bins[low].remove(x)
-            insort(bins[other], x)
-        for y in take:
-            bins[other].remove(y)
-            insort(bins[low], y)
-        moved = sum(x[0] for x in give) - sum(y[0] for y in take)
-        slack[low] += moved
-        slack[other] -= moved
-        for b in (low, other):
-            if not slack[b]:
-                under.discard(b)
-        if not bins[low]:
-            under.discard(low)
-            alive -= 1
+            for r in range(s, 0, -1):
+                for other in live[r]:
+                    if len(members[other]) > (other == k):
+                        yield r, other
+
+    for b in range(len(bins)):
+        enter(b)
+    changed = True
+    while changed and alive > least:
+        changed, s = False, capacity
+        while s and alive > least:
+            for k in sorted(live[s]):
+                if step := _step(kinds, k, others(k, s), not tried[k]):
+                    break
+                tried[k] = len(met)
+            else:
+                s -= 1
+                continue
+            changed = True
+            give, other, take = step
+            low, to = leave(k), leave(other)
+            given = [bins[low].pop(bisect_left(bins[low], (n,))) for n in give]
+            taken = [bins[to].pop(bisect_left(bins[to], (n,))) for n in take]
+            for x in given:
+                insort(bins[to], x)
+            for y in taken:
+                insort(bins[low], y)
+            slack[low] += sum(give) - sum(take)
+            slack[to] -= sum(give) - sum(take)
+            alive -= not bins[low]
+            enter(low)
+            enter(to)
+            if bins[low]:
+                # on with the same bin
+                s = slack[low]
     return [[i for _, i in b] for b in bins if b]
 
 
-def _step(bins, slack, under, low):
-    """The best step that fills another bin, no emptier, out of ``low``: (given, other, taken) or None."""
-    mine, best, found = bins[low], 0, None
-    for other in under:
-        room = slack[other]
-        if other == low or room <= best or room > slack[low]:
+def _step(kinds, k, others, falling):
+    """The best step that fills another bin, no emptier, out of one of kind ``k``: (given, other, taken) or None.
+
+    falling: the others come by falling room, so that none after one of too little room is better.
+    """
+    mine, best, found = kinds[k], 0, None
+    for room, other in others:
+        if room <= best:
+            if falling:
+                break
             continue
-        theirs = bins[other]
+        theirs = kinds[other]
         # move: the longest document that fits
-        k = bisect_left(mine, (room + 1,)) - 1
-        if k >= 0 and mine[k][0] > best:
-            best, found = mine[k][0], ([mine[k]], other, [])
+        at = bisect_right(mine, room) - 1
+        if at >= 0 and mine[at] > best:
+            best, found = mine[at], ((mine[at],), other, ())
         for x in mine:
             # one for one: the shortest of theirs that leaves room for x
-            k = bisect_left(theirs, (x[0] - room,))
-            if k < len(theirs) and x[0] - theirs[k][0] > best:
-                best, found = x[0] - theirs[k][0], ([x], other, [theirs[k]])
+            at = bisect_left(theirs, x - room)
+            if at < len(theirs) and x - theirs[at] > best:
+                best, found = x - theirs[at], ((x,), other, (theirs[at],))
             # one for two
             for p, y in enumerate(theirs[:-1]):
-                if y[0] >= x[0]:
+                if y >= x:
                     break
-                k = bisect_left(theirs, (x[0] - room - y[0],), p + 1)
-                if k < len(theirs) and x[0] - y[0] - theirs[k][0] > best:
-                    best, found = x[0] - y[0] - theirs[k][0], ([x], other, [y, theirs[k]])
+                at = bisect_left(theirs, x - room - y, p + 1)
+                if at < len(theirs) and x - y - theirs[at] > best:
+                    best, found = x - y - theirs[at], ((x,), other, (y, theirs[at]))
         # two for one
         for y in theirs:
             for p, x in enumerate(mine[:-1]):
-                if x[0] >= y[0] + room:
+                if x >= y + room:
                     break
-                k = bisect_left(mine, (y[0] + room - x[0] + 1,), p + 1) - 1
-                if k > p and x[0] + mine[k][0] - y[0] > best:
-                    best, found = x[0] + mine[k][0] - y[0], ([x, mine[k]], other, [y])
+                at = bisect_right(mine, y + room - x, p + 1) - 1
+                if at > p and x + mine[at] - y > best:
+                    best, found = x + mine[at] - y, ((x, mine[at]), other, (y,))
     return found
 
 

@@ -60,3 +60,13 @@ def test_packed_table(spark):
         assert at <= 4096
     assert len(by) <= -(-sum(r.length for r in out) // 4096) + 3
     assert packing.packed(docs.limit(0), tokenizer_path(), Scratch(spark, "t")).count() == 0
+
+
+def test_local_search_of_a_large_shard():
+    # best fit from the longest opens over a thousand bins more than the 6,000 that are enough
+    lengths = [2112, 1088, 1152] * 4000 + [896] * 8000
+    random.Random(2).shuffle(lengths)
+    bins = packing.pack(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+    assert len(bins) <= -(-sum(lengths) // 4096) + 10
