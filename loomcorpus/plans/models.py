@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import vectors as V
-from loomcorpus.operators import clustering, reduce
+from loomcorpus.operators import clustering, hierarchy, reduce
 from loomcorpus.streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS
 """
 
 
+@_query
+def hdbscan_core_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every vector to its third nearest of all vectors, itself counted."""
+    return hierarchy.core_distance_table(_vectors(spark, sf_dir), "vec_id", "embedding", 3).withColumn("core_distance", F.round("core_distance", 6))
+
+
 @_query
 def resume_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written by a first run over the events and by a second one that finds nothing new."""

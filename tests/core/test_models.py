@@ -30,3 +30,17 @@ def test_every_vector_is_clustered(spark, vectors, name):
         # a cluster never has vectors of two groups, and most vectors are in one
         assert all(len({int(group[i]) for i in found if found[i] == c}) == 1 for c in set(found.values()) - {-1})
         assert sum(c >= 0 for c in found.values()) > 150
+
+
+@pytest.mark.parametrize("block", [40, 2048])
+def test_core_distance_of_every_vector(spark, vectors, block):
+    root, points = vectors
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    want = np.sort(d, axis=1)[:, 2]
+    df = spark.read.parquet(f"{root}/embeddings.parquet")
+    got = {r["vec_id"]: r["core_distance"] for r in hierarchy.core_distance_table(df, "vec_id", "embedding", 3, block).collect()}
+    assert sorted(got) == list(range(len(points)))
+    assert np.allclose([got[i] for i in range(len(points))], want, atol=1e-9)
+    if block == 2048:
+        rows = models.QUERIES["hdbscan_core_distance_all"](spark, root).collect()
+        assert {r["vec_id"]: r["core_distance"] for r in rows} == {i: pytest.approx(v, abs=2e-6) for i, v in enumerate(want)}
