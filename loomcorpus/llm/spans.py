@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is split into sentences after ``.``, ``!`` or ``?`` before white space and at line ends.
-From every sentence starts one span: the shortest run of at least ``sentences`` consecutive
-sentences with at least ``words`` words together. Spans are hashed over lower-cased words and
+A span is a shortest run of at least ``sentences`` consecutive sentences with at least ``words``
+words together: one starts and one ends at every sentence, so a repeated passage is removed up to
+its last sentence. Spans are hashed over lower-cased words and
 joined globally; the first span of a hash is the one in the smallest ``doc_id`` (and there the
 earliest), and every other one is removed. Overlapping removed spans are one range.
 
@@ -31,13 +32,11 @@ BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 LAST = 2**63 - 1
 
 
-def sentence_spans(text: str | None, sentences: int = 2, words: int = 20) -> Iterator[tuple[int, int, int]]:
-    """(hash, start, end) of the span that starts at each sentence; positions are characters."""
-    import xxhash
-
-    if not text:
-        return
+def _sentences(text: str | None) -> tuple[list[int], list[int], list[bytes], list[int]]:
+    """Start, end, lower-cased words and number of words of each sentence."""
     starts, ends, parts, counts, at = [], [], [], [], 0
+    if not text:
+        return starts, ends, parts, counts
     for m in BREAK.finditer(text):
         if m.start() > at:
             starts.append(at)
@@ -50,7 +49,12 @@ def sentence_spans(text: str | None, sentences: int = 2, words: int = 20) -> Ite
         found = text[a:b].lower().split()
         parts.append(" ".join(found).encode("utf-8", "surrogatepass"))
         counts.append(len(found))
-    last, total, n = -1, 0, len(parts)
+    return starts, ends, parts, counts
+
+
+def _runs(counts: list[int], sentences: int, words: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of the shortest run that is long enough from each sentence."""
+    last, total, n = -1, 0, len(counts)
     for i in range(n):
         # [i, last] is the shortest run that is long enough
         while last + 1 < n and (total < words or last - i + 1 < sentences):
@@ -58,10 +62,30 @@ def sentence_spans(text: str | None, sentences: int = 2, words: int = 20) -> Ite
             total += counts[last]
         if total < words or last - i + 1 < sentences:
             return
-        yield xxhash.xxh64_intdigest(b"\n".join(parts[i : last + 1]), 9) - 2**63, starts[i], ends[last]
+        yield i, last
         total -= counts[i]
 
 
+def _hashed(parts: list[bytes]) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b"\n".join(parts), 9) - 2**63
+
+
+def sentence_spans(text: str | None, sentences: int = 2, words: int = 20) -> Iterator[tuple[int, int, int]]:
+    """(hash, start, end) of the spans that start or end at each sentence, by position.
+
+    Any run that is long enough is covered by those of them that lie within it: its sentences up
+    to the end of its first span by that, each later one by the span that ends there.
+    """
+    starts, ends, parts, counts = _sentences(text)
+    last = len(counts) - 1
+    both = set(_runs(counts, sentences, words))
+    both.update((last - j, last - i) for i, j in _runs(counts[::-1], sentences, words))
+    for i, j in sorted(both):
+        yield _hashed(parts[i : j + 1]), starts[i], ends[j]
+
+
 def _spans(sentences: int, words: int):
     def run(batches):
         import numpy as np

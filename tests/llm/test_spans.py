@@ -58,3 +58,31 @@ def test_ranges_equal_brute_force(spark):
     text = {r.doc_id: r.text for r in out.collect()}
     assert text[70] is None and text[71] == "" and passages[2].strip()[5:-5] not in text[72]
     assert spans.removed_ranges(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_every_repeated_run_is_covered(spark):
+    """Against all runs of two or more sentences with 20 words or more, from the text."""
+    rng = random.Random(9)
+
+    def sentence(n):
+        return " ".join(f"v{rng.randrange(9000)}" for _ in range(n)) + "."
+
+    passages = [[sentence(n) for n in counts] for counts in [(12, 12, 6), (5, 9, 8, 3, 2), (25, 1), (7, 7, 7, 7)]]
+    texts = []
+    for k in range(24):
+        own = [[sentence(rng.randrange(3, 14)) for _ in range(rng.randrange(1, 4))] for _ in range(2)]
+        texts.append(own[0] + passages[k % 4] + own[1])
+    seen, want = set(), set()
+    for i, parts in enumerate(texts):
+        runs = [(a, b) for a in range(len(parts)) for b in range(a + 2, len(parts) + 1) if len(" ".join(parts[a:b]).split()) >= 20]
+        want |= {(i, k) for a, b in runs if tuple(parts[a:b]) in seen for k in range(a, b)}
+        seen |= {tuple(parts[a:b]) for a, b in runs}
+    docs = spark.createDataFrame([(i, " ".join(parts)) for i, parts in enumerate(texts)], "doc_id long, text string")
+    got = set()
+    for r in spans.removed_ranges(docs, Scratch(spark, "t")).collect():
+        at = 0
+        for k, part in enumerate(texts[r.doc_id]):
+            if r.start <= at and at + len(part) <= r.end:
+                got.add((r.doc_id, k))
+            at += len(part) + 1
+    assert got == want and len(want) == 5 * sum(map(len, passages))
