@@ -1,23 +1,26 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines are compared lower-cased and trimmed; equal ones are one class from the start. A line's
-set is its character shingles. Its signature is, for each of ``bands * rows`` fixed points of
-the 64-bit hash space, the shingle hash nearest to that point by XOR; two sets agree on a point
-with the probability of their Jaccard similarity. Every line is signed by all of its shingles,
-the set that similarity is over. Lines that share a band are candidates; the exact Jaccard
-similarity decides. Links join into components, of which the first line by (doc_id, line number)
-stays.
-
-A band shared by many different lines is first compared with the one that meets most others, then
-with the next outside that line's component; pairs that are then still of different components are compared
-by bitmaps of their shingles within the join, and those that may be alike are verified.
-At similarity 0.8 a pair shares a band with probability 0.985, at 0.85 with 0.997.
+set is its character shingles. Its signature is, for each of ``bands * rows`` fixed points of the
+64-bit hash space, the shingle hash nearest to that point by XOR; two sets agree on a point with
+the probability of their Jaccard similarity. Lines that share a band are candidates; the exact
+Jaccard similarity over all shingles decides. At similarity 0.8 a pair shares one of 8 bands of 4
+rows with probability 0.985, at 0.85 with 0.997.
+
+Links join into components, of which the first line stays: that of the smallest doc_id, then of
+the smaller hash of the text, then the earlier line. A band is first compared with one leader, the
+line that meets most others. What is then still of different components is compared in pairs, the
+most alike first, where bitmaps of the shingles do not rule the similarity out; that bound is
+exact. Signatures that agree on fewer than half of the points go no further, which happens to a
+pair at 0.8 with a probability below 0.0001. All other pairs that share a band are verified, or
+ruled out, or of one component already.
 
 Defined cases: blank lines stay and are not listed; null and empty texts have no lines; lines
-shorter than a shingle are their own single shingle, so only equal ones match; rows that repeat
-a ``doc_id`` are one document; lines without a ``doc_id`` come after all others; an empty table
-gives no rows; other columns are kept by ``cleaned`` and not read elsewhere. Line classes and
-shingles are told apart by 64 hash bits.
+shorter than a shingle are their own single shingle, so only equal ones match; lines and texts of
+any length are taken whole. Rows of one ``doc_id`` and one text are one document; rows that share
+an id, or have none, with different texts are different documents, and those without an id come
+after all others. An empty table gives no rows; other columns are kept by ``cleaned`` and not read
+elsewhere. Equal lines are told by 128 hash bits, shingles of a line by 64.
 """
 
 from __future__ import annotations
@@ -31,17 +34,25 @@ from pyspark.sql import functions as F
 from loomcorpus.llm.shared import Scratch, connected_components
 
 LAST = 2**63 - 1
-#: Bits of a line's bitmap, and how far below the similarity its estimate may be.
-BITS, SLACK = 2048, 0.03
+#: Consecutive shingles that are hashed into one row: rows are dear, values in a row are not.
+CHUNK = 16
+#: Bits of a line's bitmap, and the similarities down to which pairs are compared before others.
+BITS, STEPS = 4096, (0.84,)
+
+
+def text_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.lit("row"), text)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, text) of the lines that are not blank; a null doc_id becomes the last id."""
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.select("doc_id", "line", F.lower(F.btrim("text", F.lit(" \t\r"))).alias("text")).where("text <> ''")
+    """(doc_id, rid, line, text, key, check) of the lines that are not blank; a null doc_id becomes the last id."""
+    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text_hash(F.col("text")).alias("rid"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = lines.select("doc_id", "rid", "line", F.lower(F.btrim("text", F.lit(" \t\r"))).alias("text")).where("text <> ''")
+    return lines.withColumn("key", F.xxhash64("text")).withColumn("check", F.xxhash64(F.lit("check"), "text"))
 
 
-def _shingles(text: Column, n: int) -> Column:
+def shingle_set(text: Column, n: int) -> Column:
     """The distinct shingle hashes of a text."""
     # four bytes a character, so that taking a piece out takes no scan; as an array of one, so
     # that it is made once and not for every piece
@@ -50,142 +61,181 @@ def _shingles(text: Column, n: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(wide, lambda w: F.transform(at, lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * n)))))))
 
 
-def similarity_of(x: Column, y: Column, n: int) -> Column:
-    """Jaccard similarity of the shingle sets of two texts; each set is made once."""
-    sets = F.array(F.struct(_shingles(x, n).alias("x"), _shingles(y, n).alias("y")))
-    shared = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sum")))
-    return F.transform(shared, lambda s: s["both"] / (s["sum"] - s["both"]))[0]
+def _chunks(lines: DataFrame, n: int) -> DataFrame:
+    """(key, check, h0 .. ) rows of ``CHUNK`` consecutive shingle hashes; the last one fills the last row."""
+    wide = lines.select("key", "check", F.encode("text", "UTF-32").alias("wide"), F.greatest(F.length("text") - n, F.lit(0)).alias("last"))
+    begun = wide.select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(CHUNK))).alias("at"))
+    # four bytes a character, so that taking a piece out takes no scan
+    return begun.select("key", "check", *[F.xxhash64(F.substring("wide", 4 * F.least(F.col("at") + k, F.col("last")) + 1, F.lit(4 * n))).alias(f"h{k}") for k in range(CHUNK)])
 
 
-def _exploded(texts: DataFrame, n: int) -> DataFrame:
-    """(key, h) of every shingle of (key, text) rows."""
-    wide = texts.select("key", F.encode("text", "UTF-32").alias("wide"), F.length("text").alias("chars"))
-    pieces = wide.select("key", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chars") - n, F.lit(0)))).alias("i"))
-    return pieces.select("key", F.xxhash64(F.substring("wide", 4 * F.col("i") + 1, F.lit(4 * n))).alias("h"))
+def signatures(lines: DataFrame, n: int, bands: int, rows: int, seed: int = 1) -> DataFrame:
+    """(key, check, b0 .. , sig) of (key, check, text) lines: band hashes, and the low bytes of the signature in longs.
 
-
-def band_keys(lines: DataFrame, n: int, bands: int, rows: int, seed: int = 1) -> DataFrame:
-    """(key, band) rows of the signatures of (key, text) lines; one task has all of a key."""
+    Where ``lines`` is dealt by ``key`` and ``check``, this moves no row to another task.
+    """
     rng = random.Random(seed)
     points = [rng.getrandbits(64) - 2**63 for _ in range(bands * rows)]
-    mins = _exploded(lines, n).groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(points)])
-    found = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    return mins.select("key", F.explode(F.array(*found)).alias("band"))
+    mins = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(CHUNK)])).alias(f"m{i}") for i, p in enumerate(points)]
+    made = _chunks(lines, n).groupBy("key", "check").agg(*mins)
+    found = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias(f"b{b}") for b in range(bands)]
+    sig = []
+    for k in range(0, bands * rows, 8):
+        word = F.lit(0).cast("long")
+        for j in range(k, min(k + 8, bands * rows)):
+            word = word.bitwiseOR(F.call_function("shiftleft", F.col(f"m{j}").bitwiseAND(F.lit(255)), F.lit(8 * (j - k))))
+        sig.append(word)
+    return made.select("key", "check", *found, F.array(*sig).alias("sig"))
+
+
+def agreeing(x: Column, y: Column, points: int) -> Column:
+    """On how many points two signatures have the same low byte."""
+    out = F.lit(points)
+    for k in range(-(-points // 8)):
+        d = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        # a byte's lowest bit becomes the union of its bits
+        for step in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, step))
+        out = out - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    return out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) pairs of lines whose shingle sets have at least that Jaccard similarity."""
+    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"), F.col("size").alias("m"))
+    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"), F.col("size").alias("n"))
+    near = pairs.join(left, "a").join(right, "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
+    return near.where(_reached(F.size(F.array_intersect("x", "y")), similarity)).select("a", "b")
 
 
-def bitmaps(texts: DataFrame, n: int) -> DataFrame:
-    """(key, text, bits, ones): the shingles of each text hashed into a bitmap of ``BITS`` bits."""
-    place = _exploded(texts, n).select("key", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    words = [F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(BITS // 64)]
-    made = place.groupBy("key").agg(*words).select("key", F.array(*[F.col(f"w{w}") for w in range(BITS // 64)]).alias("bits"))
-    return texts.join(made.withColumn("ones", filled(F.col("bits"))), "key")
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, bits, ones): the shingles of (id, set) rows hashed into a bitmap of ``BITS`` bits."""
+    each = sets.select("id", F.explode("set").alias("h"))
+    each = each.select("id", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    each = each.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0)).alias(f"w{w}") for w in range(BITS // 64)]
+    made = each.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("ones"), *words)
+    return made.select("id", F.array(*[F.col(f"w{w}") for w in range(BITS // 64)]).alias("bits"), "ones")
 
 
-def _ones(words: list[Column]) -> Column:
-    return sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+def _may_reach(similarity: float) -> Column:
+    """Whether lines of m and n shingles with bitmaps s and t of p and q ones can be that similar: never false where they are.
 
+    A bit that only one of them has is a shingle, at least, that only this one has.
+    """
+    shared = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, more: n + more)
+    return _reached(shared + F.least(F.col("m") - F.col("p"), F.col("n") - F.col("q")), similarity)
 
-def filled(bits: Column) -> Column:
-    """Bits that are set in a bitmap."""
-    return _ones([F.get(bits, F.lit(k)) for k in range(BITS // 64)])
 
+def _reached(both: Column, similarity: float) -> Column:
+    """Whether sets of m and n that share ``both`` have the similarity; named once, as it is dear."""
+    return both * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9
 
-def may_be_alike(x: Column, y: Column, in_x: Column, in_y: Column, similarity: float) -> Column:
-    """Whether two bitmaps allow the similarity: their estimate is near it, or they are too full to tell.
 
-    in_x and in_y: their bits that are set. The estimate's error has a deviation of about 0.015
-    for some hundred shingles and less for fewer; ``SLACK`` is twice that.
-    """
-    count = lambda ones: -BITS * F.log(1.0 - F.least(ones, F.lit(BITS - 1)) / float(BITS))
-    both = _ones([F.get(x, F.lit(k)).bitwiseAND(F.get(y, F.lit(k))) for k in range(BITS // 64)])
-    either = in_x + in_y - both
-    return (either > BITS * 2 // 3) | (count(in_x) + count(in_y) >= (1 + similarity - SLACK) * count(either))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The (a, b) pairs of lines whose shingle sets have at least that Jaccard similarity."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"), F.col("bits").alias("p"), F.col("ones").alias("m"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"), F.col("bits").alias("q"), F.col("ones").alias("n"))
-    near = pairs.join(left, "a").join(right, "b").where(may_be_alike(F.col("p"), F.col("q"), F.col("m"), F.col("n"), similarity))
-    return near.where(similarity_of(F.col("x"), F.col("y"), n) >= similarity).select("a", "b")
+def _relabelled(component: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) after more (a, b) links of ids."""
+    of = [component.select(F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "p"), ("b", "q"))]
+    between = links.join(of[0], "a").join(of[1], "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    more = connected_components(between, scratch).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return scratch.keep(component.join(more, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+
+
+def _apart(ranked: DataFrame, component: DataFrame) -> DataFrame:
+    """(band, id, meets, component) of bands with several components."""
+    named = ranked.join(component, "id").select("band", "id", "meets", "sig", "component")
+    several = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    return named.join(several, "band")
 
 
-def grouped(docs: DataFrame, scratch: Scratch, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 4) -> DataFrame:
-    """(doc_id, line, first_doc_id, first_line, kept) of every line that is not blank."""
+def firsts(docs: DataFrame, scratch: Scratch, shingle: int = 8, similarity: float = 0.8, bands: int = 8, rows: int = 4) -> DataFrame:
+    """(key, check, first, top): for each different line its first place and its component's.
+
+    Places are (doc_id, rid, line).
+    """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = lines_of(docs).withColumn("key", F.xxhash64("text"))
-    places = scratch.keep(lines.select("doc_id", "line", "key"))
-    # the different lines, written by key: what is looked up by key later moves no text
-    unique = f"loom_lines_{uuid.uuid4().hex}"
-    one = lines.select("key", "text").repartition(parts, "key").dropDuplicates(["key"])
-    one.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/{unique}").bucketBy(parts, "key").saveAsTable(unique)
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = lines_of(docs).groupBy("key", "check").agg(F.first("text").alias("text"), F.min(F.struct("doc_id", "rid", "line")).alias("first"))
+    # written as it is dealt, so that what is made of a line later moves no text
+    name = f"loom_lines_{uuid.uuid4().hex}"
+    one.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/{name}").bucketBy(deal, "key", "check").saveAsTable(name)
     try:
-        return _grouped(spark.table(unique), places, scratch, shingle, similarity, bands, rows)
+        lines = spark.table(name)
+        signed = scratch.keep(signatures(lines, shingle, bands, rows).withColumn("id", F.monotonically_increasing_id()))
+        component = _components(lines, signed, scratch, shingle, similarity, bands, rows)
+        linked = component.join(signed.select("id", "key", "check"), "id").select("key", "check", "component")
+        places = scratch.keep(lines.select("key", "check", "first").join(linked, ["key", "check"], "left"))
     finally:
-        spark.sql(f"DROP TABLE {unique}")
+        spark.sql(f"DROP TABLE {name}")
+    top = scratch.keep(places.where("component is not null").groupBy("component").agg(F.min("first").alias("top")))
+    return scratch.keep(places.join(top, "component", "left").select("key", "check", "first", F.coalesce("top", "first").alias("top")))
 
 
-def _grouped(unique: DataFrame, places: DataFrame, scratch: Scratch, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
-    # dealt once by band, for its leader and for the join with it
-    dealt = band_keys(unique, shingle, bands, rows).repartition("band")
-    # over the key, so that both uses read the same shuffle
-    several = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").drop("lo", "hi")
-    shared = scratch.keep(dealt.join(several.hint("merge"), "band"))
+def _components(lines: DataFrame, signed: DataFrame, scratch: Scratch, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """(id, component) of the lines that share a band with another."""
+    banded = signed.select("id", F.explode(F.array(*[f"b{k}" for k in range(bands)])).alias("band"))
+    several = scratch.keep(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = scratch.keep(banded.join(several.hint("shuffle_hash"), "band"))
     # a line that meets many others is likely what they were copied from: it leads its bands
-    meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
-    ranked = shared.select("band", "key").join(meets, "key").withColumn("rank", F.struct("meets", "key"))
-    leaders = ranked.groupBy("band").agg(F.max("rank").alias("top")).select("band", F.col("top.key").alias("leader"))
-    shared = scratch.keep(ranked.join(leaders, "band").select("band", "key", "meets", "leader"))
-    texts = unique.join(shared.select("key").distinct(), "key", "left_semi")
-    texts = scratch.keep(bitmaps(scratch.keep(texts), shingle))
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-    tried = ordered(shared.select(F.col("leader").alias("a"), F.col("key").alias("b")))
-    links = scratch.keep(_verified(tried, texts, shingle, similarity))
-    component = connected_components(links, scratch)
-
-    # members of shared bands with their components; bands of one component are done
-    def open_bands(component: DataFrame) -> DataFrame:
-        named = shared.join(component.select(F.col("id").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        several = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        return scratch.keep(named.join(several, "band").select("band", "key", "meets", "leader", "component"))
-
-    members = open_bands(component)
-    if not members.isEmpty():
-        of_leader = members.where("key = leader").select("band", F.col("component").alias("first"))
-        second = members.join(of_leader, "band").where("component <> first").groupBy("band").agg(F.max(F.struct("meets", "key")).alias("top")).select("band", F.col("top.key").alias("next"))
-        asked = members.join(second, "band")
-        other = members.select("band", F.col("key").alias("next"), F.col("component").alias("next_component"))
-        tried = ordered(asked.join(other, ["band", "next"]).where("component <> next_component and key <> leader").select(F.col("key").alias("a"), F.col("next").alias("b")))
-        links = scratch.keep(links.unionByName(_verified(tried, texts, shingle, similarity)))
-        members = open_bands(connected_components(links, scratch))
-        others = members.where("key <> leader").join(texts.select("key", "bits", "ones"), "key")
+    meets = shared.groupBy("id").agg(F.sum("n").alias("meets"))
+    meets = scratch.keep(signed.select("id", "key", "check", "sig").join(meets.hint("shuffle_hash"), "id"))
+    ranked = scratch.keep(shared.select("band", "id").join(meets.select("id", "meets", "sig"), "id"))
+    sets = lines.select("key", "check", "text").join(meets.select("id", "key", "check").hint("shuffle_hash"), ["key", "check"])
+    sets = sets.select("id", shingle_set(F.col("text"), shingle).alias("set"))
+    sets = scratch.keep(sets.withColumn("size", F.size("set")))
+
+    # every band is compared with its leader
+    members = ranked.withColumn("component", F.col("id"))
+    leaders = members.groupBy("band").agg(F.max(F.struct("meets", "id", "sig")).alias("top")).select("band", F.col("top.id").alias("leader"), F.col("top.sig").alias("led_sig"))
+    points = bands * rows
+    same = agreeing(F.col("sig"), F.col("led_sig"), points) >= points // 2
+    asked = members.join(scratch.keep(leaders), "band").where((F.col("id") != F.col("leader")) & same)
+    links = _verified(_ordered(asked.select(F.col("leader").alias("a"), F.col("id").alias("b"))), sets, similarity)
+    component = _relabelled(meets.select("id", F.col("id").alias("component")), links, scratch)
+    members = scratch.keep(_apart(ranked, component))
+    if members.isEmpty():
+        return component
+    # then what is of different components, the most alike first: what they join is not met again
+    maps = sets.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    maps = scratch.keep(bitmaps(maps).join(maps.select("id", "size"), "id").join(meets.select("id", "sig"), "id"))
+    for least in (*[x for x in STEPS if x > similarity], similarity):
+        open_ = _apart(ranked, component).select("band", "id", "component").join(maps, "id")
         # pairs are many for few bytes: as many tasks as partitions, however small these are
-        others = others.repartition(int(others.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
-        x = others.select("band", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("p"), F.col("ones").alias("m"))
-        y = others.select("band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("q"), F.col("ones").alias("n"))
-        rest = ordered(x.join(y, "band").where(F.expr("a < b and ca <> cb") & may_be_alike(F.col("p"), F.col("q"), F.col("m"), F.col("n"), similarity)).select("a", "b"))
-        links = scratch.keep(links.unionByName(_verified(rest, texts, shingle, similarity)))
-        component = connected_components(links, scratch)
+        open_ = open_.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
+        x = open_.select("band", F.col("id").alias("a"), F.col("component").alias("u"), F.col("sig").alias("f"), F.col("bits").alias("s"), F.col("ones").alias("p"), F.col("size").alias("m"))
+        y = open_.select("band", F.col("id").alias("b"), F.col("component").alias("v"), F.col("sig").alias("g"), F.col("bits").alias("t"), F.col("ones").alias("q"), F.col("size").alias("n"))
+        apart = F.expr("a < b and u <> v") & (agreeing(F.col("f"), F.col("g"), points) >= points // 2)
+        near = x.join(y, "band").where(apart & _may_reach(least)).select("a", "b").distinct()
+        component = _relabelled(component, _verified(near, sets, similarity), scratch)
+    return component
+
 
-    named = places.join(component.select(F.col("id").alias("key"), "component"), "key", "left").select("doc_id", "line", F.coalesce("component", "key").alias("component"))
-    named = scratch.keep(named)
-    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    out = named.join(first, "component")
-    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
-    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "line", F.nullif(F.col("first.doc_id"), F.lit(LAST)).alias("first_doc_id"), F.col("first.line").alias("first_line"), kept.alias("kept"))
+def grouped(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """(doc_id, line, first_doc_id, first_line, kept) of every line that is not blank; options: those of ``firsts``."""
+    lines = lines_of(docs).select("key", "check", F.struct("doc_id", "rid", "line").alias("place"))
+    out = lines.join(firsts(docs, scratch, **options).select("key", "check", "top"), ["key", "check"])
+    return out.select(F.nullif("place.doc_id", F.lit(LAST)).alias("doc_id"), "place.line", F.nullif("top.doc_id", F.lit(LAST)).alias("first_doc_id"), F.col("top.line").alias("first_line"), (F.col("place") == F.col("top")).alias("kept"))
 
 
 def cleaned(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The documents without the lines that repeat an earlier one; n_chars follows the text."""
-    gone = grouped(docs, scratch, **options).where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    both = both.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
+    stay = firsts(docs, scratch, **options).where("first = top").groupBy(F.col("first.doc_id").alias("__id"), F.col("first.rid").alias("__rid")).agg(F.collect_set("first.line").alias("__stay"))
+    known = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__text", text_hash(F.col("text")))
+    both = known.join(stay.hint("shuffle_hash"), (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__rid")), "left")
+
+    def of(lines: Column) -> Column:
+        # blank lines and those that stay, in order, by their numbers
+        blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.btrim(F.get(lines, i), F.lit(" \t\r")) == "")
+        at = F.sort_array(F.concat(blank, F.coalesce("__stay", F.array().cast("array<int>"))))
+        return F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n")
+
+    # as an array of one, so that a text is split once and not for every line
+    left = F.transform(F.array(F.split("text", "\n")), of)[0]
+    both = both.withColumn("__left", F.when(F.col("text").isNotNull(), left))
     kinds = dict(docs.dtypes)
     if kinds.get("n_chars") in ("bigint", "int"):
-        both = both.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kinds["n_chars"]))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
+        both = both.withColumn("n_chars", F.when(F.col("__left") == F.col("text"), F.col("n_chars")).otherwise(F.coalesce(F.length("__left"), F.col("n_chars"))).cast(kinds["n_chars"]))
+    return both.select(*[F.col("__left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -82,9 +82,68 @@ def test_bands_find_lines_of_unlike_words(spark):
                 some.append((x, y))
         pairs += some
     texts = [t for pair in pairs for t in pair]
-    rows = line_dedup.band_keys(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), 8, 8, 4).collect()
-    bands = {}
-    for r in rows:
-        bands.setdefault(r.key, set()).add(r.band)
+    rows = line_dedup.signatures(spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "key long, check long, text string"), 8, 8, 4).collect()
+    bands = {r.key: {r[f"b{k}"] for k in range(8)} for r in rows}
     found = [bool(bands[2 * k] & bands[2 * k + 1]) for k in range(len(pairs))]
     assert sum(found[:100]) >= 95 and sum(found[100:]) >= 95
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Different texts are different documents, whatever their ids; no line goes that is nowhere else."""
+    common = "the very same line of text stands in several documents"
+    rows = [(None, "nothing else has this first line\n" + common), (None, common + "\nand nothing else has this second one"), (5, "five has one text"), (5, "and five has another text too\n" + common), (1, common), (None, "nothing else has this first line\n" + common)]
+    out = line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out)
+    first = "nothing else has this first line"
+    assert got == [(False, 1, common), (False, 5, "and five has another text too"), (False, 5, "five has one text"), (True, 0, "and nothing else has this second one"), (True, 0, first), (True, 0, first)]
+
+
+def test_query_settings_against_brute_force(spark):
+    """Recall of links at 8 bands of 4, by components, on lines around the similarity, some of them very long."""
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def words(n):
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(n)]
+
+    lines = []
+    for n in [3, 6, 12, 20, 40, 60, 90] * 8 + [4000]:
+        base = words(n)
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(n), max(1, n // rng.choice([12, 25, 60]))):
+                copy[at] = words(1)[0]
+            lines.append(" ".join(copy))
+    # one group of very many copies, few of them alike
+    base = words(50)
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(50), rng.choice([1, 2, 3, 4, 5])):
+            copy[at] = words(1)[0]
+        lines.append(" ".join(copy))
+    lines = sorted(set(lines))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.grouped(docs, Scratch(spark, "t")).collect()}
+    sets = [{t[k : k + 8] for k in range(max(1, len(t) - 7))} for t in lines]
+    links = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if 0.8 <= len(sets[a]) / len(sets[b]) <= 1.25 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = components(range(len(lines)), links)
+    assert len(links) > 800
+    assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links)
+    # what is put together is together by brute force
+    assert all(comp[i] == comp[first] for i, first in got.items())
+
+
+def test_bitmaps_rule_out_no_pair(spark):
+    rng = random.Random(3)
+    base = rng.sample(range(10**12), 900)
+    sets = [(k, rng.sample(base, n) + rng.sample(range(10**12), m)) for k, (n, m) in enumerate([(800, 0), (800, 50), (850, 100), (700, 0), (600, 200), (20, 0), (15, 2)])]
+    df = spark.createDataFrame(sets, "id long, set array<long>")
+    maps = line_dedup.bitmaps(df).join(df.selectExpr("id", "size(set) AS size"), "id")
+    x = maps.selectExpr("id AS a", "bits AS s", "ones AS p", "size AS m")
+    y = maps.selectExpr("id AS b", "bits AS t", "ones AS q", "size AS n")
+    pairs = {(r.a, r.b): r.may for r in x.crossJoin(y).select("a", "b", line_dedup._may_reach(0.8).alias("may")).collect()}
+    for i, v in sets:
+        for j, w in sets:
+            jaccard = len(set(v) & set(w)) / len(set(v) | set(w))
+            assert pairs[i, j] or jaccard < 0.8
+            assert not pairs[i, j] or jaccard > 0.7
