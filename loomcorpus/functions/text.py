@@ -69,13 +69,25 @@ def json_object(raw: Column) -> Column:
     return F.try_parse_json(json_slice(raw))
 
 
+#: Character references that pages write in attribute values; the ampersand comes last, so that nothing is decoded twice.
+REFERENCES = {"&quot;": '"', "&#34;": '"', "&#x22;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, in double, single or no quotes, as written; null without one."""
+    found = [F.regexp_extract(tag, rf"(?i)[\s\"']{name}\s*=\s*{value}", 1) for value in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+
+
 def meta_content(html: Column, name: str = "og:image") -> Column:
-    """``content`` of the first meta element with that property, in either attribute order."""
+    """``content`` of the first meta element with that ``property``, in any attribute order, references decoded."""
     quoted = name.replace(".", r"\.")
-    value = r"\bcontent\s*=\s*[\"']([^\"']*)[\"']"
-    key = rf"\b(?:property|name)\s*=\s*[\"']{quoted}[\"']"
-    tag = F.regexp_extract(html, rf"(?i)(<meta\b[^>]*{key}[^>]*>)", 1)
-    return F.nullif(F.regexp_extract(tag, "(?i)" + value, 1), F.lit(""))
+    inside = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+    key = rf"[\s\"']property\s*=\s*(?:\"{quoted}\"|'{quoted}'|{quoted}(?=[\s/>]))"
+    text = attribute(F.regexp_extract(html, rf"(?i)(<meta(?=[\s/]){inside}?{key}{inside}>)", 1), "content")
+    for written, sign in REFERENCES.items():
+        text = F.replace(text, F.lit(written), F.lit(sign))
+    return text
 
 
 def human_duration(seconds: Column) -> Column:

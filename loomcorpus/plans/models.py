@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomcorpus.functions import vectors as V
 from loomcorpus.operators import clustering, hierarchy, reduce
+from loomcorpus.session import shared_folder
 from loomcorpus.streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,31 +86,31 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, n
 
 @_query
 def hdbscan_core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance to the third nearest point of the label, the point itself counted, for the query vectors."""
+    """Distance to the third nearest other point of the label, for the query vectors."""
     v = _vectors(spark, sf_dir)
     q = v.where(QUERY_IDS).select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    d = v.select("label", "vec_id", "embedding").join(q, "label").select("query_id", "vec_id", F.sqrt(V.squared_distance(F.col("q"), F.col("embedding"))).alias("d"))
+    d = v.select("label", "vec_id", "embedding").join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.sqrt(V.squared_distance(F.col("q"), F.col("embedding"))).alias("d"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id"))
     return d.withColumn("n", rank).where("n = 3").select("query_id", F.round("d", 6).alias("core_distance"))
 
 
 ORACLE["hdbscan_core_distance"] = f"""
 WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
-  FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.{QUERY_IDS}),
+  FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.{QUERY_IDS}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM p) SELECT query_id, round(d, 6) AS core_distance FROM r WHERE n = 3
 """
 
 
 @_query
 def hdbscan_core_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every vector to its third nearest of all vectors, itself counted."""
+    """Distance of every vector to its third nearest of all others."""
     return hierarchy.core_distance_table(_vectors(spark, sf_dir), "vec_id", "embedding", 3).withColumn("core_distance", F.round("core_distance", 6))
 
 
 @_query
 def resume_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written by a first run over the events and by a second one that finds nothing new."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomcorpus-")
+    base = shared_folder(spark)
     root = f"{base.rstrip('/')}/resume-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
     schema = "event_id long, user_id long, event_type string"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,20 @@ def session(app: str = "loomcorpus", master: str | None = None, **conf: str) ->
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Without the setting a local session gets a folder of its own; on a cluster that is an error,
+    as each executor would write to its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
+        local = tempfile.mkdtemp(prefix="loomcorpus-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -106,7 +106,7 @@ def test_hdbscan_on_blobs(selection):
     core = hierarchy.core_distances(x, 5)
     assert abs(hierarchy.reachability_tree(x, core)[:, 2].sum() - naive_tree_weight(x, core)) < 1e-6
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)
-    assert np.allclose(core, d[:, 4], atol=1e-6)
+    assert np.allclose(core, d[:, 5], atol=1e-6)
 
 
 def test_hdbscan_small_and_equal():
