@@ -100,22 +100,29 @@ def agreeing(x: Column, y: Column, points: int) -> Column:
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similarity_of(x: Column, y: Column, n: int) -> Column:
+    """Jaccard similarity of the shingle sets of two texts; each set is made once."""
+    sets = F.array(F.struct(shingle_set(x, n).alias("x"), shingle_set(y, n).alias("y")))
+    shared = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sum")))
+    return F.transform(shared, lambda s: s["both"] / (s["sum"] - s["both"]))[0]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """The (a, b) pairs of lines whose shingle sets have at least that Jaccard similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"), F.col("size").alias("m"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"), F.col("size").alias("n"))
-    near = pairs.join(left, "a").join(right, "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
-    return near.where(_reached(F.size(F.array_intersect("x", "y")), similarity)).select("a", "b")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    near = pairs.join(left, "a").join(right, "b")
+    return near.where(similarity_of(F.col("x"), F.col("y"), n) >= similarity).select("a", "b")
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """(id, bits, ones): the shingles of (id, set) rows hashed into a bitmap of ``BITS`` bits."""
-    each = sets.select("id", F.explode("set").alias("h"))
+def bitmaps(texts: DataFrame, n: int) -> DataFrame:
+    """(id, bits, ones, size): the shingles of (id, text) rows hashed into a bitmap of ``BITS`` bits, and their number."""
+    each = texts.select("id", F.explode(shingle_set(F.col("text"), n)).alias("h"))
     each = each.select("id", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    each = each.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"))
+    each = each.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
     words = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0)).alias(f"w{w}") for w in range(BITS // 64)]
-    made = each.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("ones"), *words)
-    return made.select("id", F.array(*[F.col(f"w{w}") for w in range(BITS // 64)]).alias("bits"), "ones")
+    made = each.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("ones"), F.sum("n").alias("size"), *words)
+    return made.select("id", F.array(*[F.col(f"w{w}") for w in range(BITS // 64)]).alias("bits"), "ones", "size")
 
 
 def _may_reach(similarity: float) -> Column:
@@ -124,11 +131,8 @@ def _may_reach(similarity: float) -> Column:
     A bit that only one of them has is a shingle, at least, that only this one has.
     """
     shared = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, more: n + more)
-    return _reached(shared + F.least(F.col("m") - F.col("p"), F.col("n") - F.col("q")), similarity)
-
-
-def _reached(both: Column, similarity: float) -> Column:
-    """Whether sets of m and n that share ``both`` have the similarity; named once, as it is dear."""
+    # what both share, at most; named once, as it is dear
+    both = shared + F.least(F.col("m") - F.col("p"), F.col("n") - F.col("q"))
     return both * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9
 
 
@@ -161,31 +165,35 @@ def firsts(docs: DataFrame, scratch: Scratch, shingle: int = 8, similarity: floa
     one = lines_of(docs).groupBy("key", "check").agg(F.first("text").alias("text"), F.min(F.struct("doc_id", "rid", "line")).alias("first"))
     # written as it is dealt, so that what is made of a line later moves no text
     name = f"loom_lines_{uuid.uuid4().hex}"
-    one.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/{name}").bucketBy(deal, "key", "check").saveAsTable(name)
+    path = f"{scratch.root}/{name}"
+    one.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(deal, "key", "check").saveAsTable(name)
     try:
         lines = spark.table(name)
         signed = scratch.keep(signatures(lines, shingle, bands, rows).withColumn("id", F.monotonically_increasing_id()))
         component = _components(lines, signed, scratch, shingle, similarity, bands, rows)
-        linked = component.join(signed.select("id", "key", "check"), "id").select("key", "check", "component")
-        places = scratch.keep(lines.select("key", "check", "first").join(linked, ["key", "check"], "left"))
     finally:
         spark.sql(f"DROP TABLE {name}")
-    top = scratch.keep(places.where("component is not null").groupBy("component").agg(F.min("first").alias("top")))
-    return scratch.keep(places.join(top, "component", "left").select("key", "check", "first", F.coalesce("top", "first").alias("top")))
+    places = spark.read.schema(one.schema).parquet(path).select("key", "check", "first")
+    # only lines that share a band can be of a component with others
+    linked = signed.select("id", "key", "check").join(component.hint("shuffle_hash"), "id").select("key", "check", "component")
+    linked = scratch.keep(places.join(linked.hint("shuffle_hash"), ["key", "check"]))
+    tops = scratch.keep(linked.groupBy("component").agg(F.min("first").alias("top")))
+    tops = scratch.keep(linked.join(tops, "component").select("key", "check", "top"))
+    return places.join(tops.hint("shuffle_hash"), ["key", "check"], "left").select("key", "check", "first", F.coalesce("top", "first").alias("top"))
 
 
 def _components(lines: DataFrame, signed: DataFrame, scratch: Scratch, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """(id, component) of the lines that share a band with another."""
-    banded = signed.select("id", F.explode(F.array(*[f"b{k}" for k in range(bands)])).alias("band"))
-    several = scratch.keep(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    # dealt once by band, to be counted and to be joined
+    banded = signed.select("id", F.explode(F.array(*[f"b{k}" for k in range(bands)])).alias("band")).repartition("band")
+    several = banded.groupBy("band").agg(F.count("id").alias("n")).where("n > 1")
     shared = scratch.keep(banded.join(several.hint("shuffle_hash"), "band"))
     # a line that meets many others is likely what they were copied from: it leads its bands
     meets = shared.groupBy("id").agg(F.sum("n").alias("meets"))
     meets = scratch.keep(signed.select("id", "key", "check", "sig").join(meets.hint("shuffle_hash"), "id"))
     ranked = scratch.keep(shared.select("band", "id").join(meets.select("id", "meets", "sig"), "id"))
-    sets = lines.select("key", "check", "text").join(meets.select("id", "key", "check").hint("shuffle_hash"), ["key", "check"])
-    sets = sets.select("id", shingle_set(F.col("text"), shingle).alias("set"))
-    sets = scratch.keep(sets.withColumn("size", F.size("set")))
+    texts = lines.select("key", "check", "text").join(meets.select("id", "key", "check").hint("shuffle_hash"), ["key", "check"])
+    texts = scratch.keep(texts.select("id", "text"))
 
     # every band is compared with its leader
     members = ranked.withColumn("component", F.col("id"))
@@ -193,14 +201,14 @@ def _components(lines: DataFrame, signed: DataFrame, scratch: Scratch, shingle:
     points = bands * rows
     same = agreeing(F.col("sig"), F.col("led_sig"), points) >= points // 2
     asked = members.join(scratch.keep(leaders), "band").where((F.col("id") != F.col("leader")) & same)
-    links = _verified(_ordered(asked.select(F.col("leader").alias("a"), F.col("id").alias("b"))), sets, similarity)
+    links = _verified(_ordered(asked.select(F.col("leader").alias("a"), F.col("id").alias("b"))), texts, shingle, similarity)
     component = _relabelled(meets.select("id", F.col("id").alias("component")), links, scratch)
     members = scratch.keep(_apart(ranked, component))
     if members.isEmpty():
         return component
     # then what is of different components, the most alike first: what they join is not met again
-    maps = sets.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-    maps = scratch.keep(bitmaps(maps).join(maps.select("id", "size"), "id").join(meets.select("id", "sig"), "id"))
+    left = texts.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    maps = scratch.keep(bitmaps(left, shingle).join(meets.select("id", "sig"), "id"))
     for least in (*[x for x in STEPS if x > similarity], similarity):
         open_ = _apart(ranked, component).select("band", "id", "component").join(maps, "id")
         # pairs are many for few bytes: as many tasks as partitions, however small these are
@@ -209,7 +217,7 @@ def _components(lines: DataFrame, signed: DataFrame, scratch: Scratch, shingle:
         y = open_.select("band", F.col("id").alias("b"), F.col("component").alias("v"), F.col("sig").alias("g"), F.col("bits").alias("t"), F.col("ones").alias("q"), F.col("size").alias("n"))
         apart = F.expr("a < b and u <> v") & (agreeing(F.col("f"), F.col("g"), points) >= points // 2)
         near = x.join(y, "band").where(apart & _may_reach(least)).select("a", "b").distinct()
-        component = _relabelled(component, _verified(near, sets, similarity), scratch)
+        component = _relabelled(component, _verified(near, texts, shingle, similarity), scratch)
     return component
 
 

@@ -6,33 +6,35 @@ and the driver see, so that a lost executor never costs more than the stage it w
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        local = tempfile.mkdtemp(prefix="loomcorpus-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        base = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from loomcorpus.session import shared_folder
 
 
 class Scratch:
-    """Tables written under one private folder of the shared directory."""
+    """Tables written under one private folder of the shared directory.
+
+    They stay until ``drop`` is called: what is returned to a caller still reads them.
+    """
+
+    #: Those not dropped yet.
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.made.append(self)
+
+    def drop(self) -> None:
+        """Delete all tables of this folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in Scratch.made:
+            Scratch.made.remove(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the written table: lineage ends here."""

@@ -135,15 +135,20 @@ def test_query_settings_against_brute_force(spark):
 
 def test_bitmaps_rule_out_no_pair(spark):
     rng = random.Random(3)
-    base = rng.sample(range(10**12), 900)
-    sets = [(k, rng.sample(base, n) + rng.sample(range(10**12), m)) for k, (n, m) in enumerate([(800, 0), (800, 50), (850, 100), (700, 0), (600, 200), (20, 0), (15, 2)])]
-    df = spark.createDataFrame(sets, "id long, set array<long>")
-    maps = line_dedup.bitmaps(df).join(df.selectExpr("id", "size(set) AS size"), "id")
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900))
+    texts = [base[:800], base[:850], base[40:800], base[:600] + base[::-1][:200], base[:30], base[:32], base[:700], "short", base * 8]
+    for n in (1, 3, 6, 12):
+        t = list(base)
+        for at in rng.sample(range(900), n):
+            t[at] = "#"
+        texts.append("".join(t))
+    maps = line_dedup.bitmaps(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 8)
     x = maps.selectExpr("id AS a", "bits AS s", "ones AS p", "size AS m")
     y = maps.selectExpr("id AS b", "bits AS t", "ones AS q", "size AS n")
     pairs = {(r.a, r.b): r.may for r in x.crossJoin(y).select("a", "b", line_dedup._may_reach(0.8).alias("may")).collect()}
-    for i, v in sets:
-        for j, w in sets:
-            jaccard = len(set(v) & set(w)) / len(set(v) | set(w))
+    sets = [{t[k : k + 8] for k in range(max(1, len(t) - 7))} for t in texts]
+    for i, v in enumerate(sets):
+        for j, w in enumerate(sets):
+            jaccard = len(v & w) / len(v | w)
             assert pairs[i, j] or jaccard < 0.8
             assert not pairs[i, j] or jaccard > 0.7
