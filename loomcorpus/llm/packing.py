@@ -6,13 +6,13 @@ exchanges until it needs no more sequences than its tokens fill, or no exchange
 documents of sequences that stay underfull are dealt anew, into fewer shards, until one is left.
 
 Defined cases: a null or empty text is the single id that ends a document; a null ``doc_id`` and
-repeated rows are packed like any other row; an empty table gives no rows; other columns are
-not read.
+repeated rows are packed like any other row, dealt apart however many are equal; a text of any
+length is encoded whole and cut into pieces; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -26,59 +26,91 @@ CAPACITY = 4096
 END = 1
 
 
+#: How a tokenizer file must split texts and mark the ends of words, for words to be encoded one by one.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+
 class WordEncoder:
     """Token ids of texts, as little-endian 32-bit bytes, with the ids of seen words kept.
 
-    The tokenizer never joins what white space divides, so a text's ids are those of its words
-    in turn. That is used for texts of Latin-1 characters without control separators or the
-    tokenizer's special strings; any other text goes to the tokenizer as it is. ``limit`` bounds
-    the words kept; it changes time only.
+    A tokenizer that lower-cases, drops white space and splits by ``SPLIT`` never joins what white
+    space divides, so a text's ids are those of its words in turn. The file says whether it does;
+    with any other one, and for texts with its special strings, with control separators (white
+    space to Python alone) or with hardly any white space, the text goes to it as it is. ``limit``
+    bounds the words kept and ``long`` their mean length in a text; they change time only.
     """
 
-    ODD = re.compile(r"[\x1c-\x1f]|<\|")
+    def __init__(self, path: str, limit: int = 700_000, long: int = 40):
+        import json
 
-    def __init__(self, path: str, limit: int = 700_000):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
+        self.limit, self.long = limit, long
         self.seen: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.by_word = self._splits(made)
+        self.special = [t["content"].lower() for t in made.get("added_tokens") or []]
+        self.parts = regex.compile(SPLIT)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = bytearray(max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.last[i] = token.endswith("</w>")
-
-        self.signs = {c: self.whole(c) for c in ".,;:!?"}
+            self.last[i] = token.endswith(WORD_END)
+
+    @staticmethod
+    def _splits(made: dict) -> bool:
+        """Whether the file describes such a tokenizer."""
+        steps = (made.get("normalizer") or {}).get("normalizers") or []
+        space = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        model = made.get("model") or {}
+        return (
+            all(x.get("type") in ("NFC", "Lowercase") or x == space for x in steps)
+            and {"type": "Lowercase"} in steps
+            and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+            and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in made["pre_tokenizer"]["pretokenizers"][1:])
+            and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", WORD_END, None)
+        )
 
     def whole(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Plain words are encoded together and told apart by the ids that end a word."""
-        plain, seen = [], self.seen
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
+        """Words are encoded together and told apart by the ids that end their parts."""
+        seen = self.seen
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
             ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            cut = [k + 1 for k, i in enumerate(ids) if self.last[i]]
-            if len(cut) != len(some):
+            ends = [k + 1 for k, i in enumerate(ids) if self.last[i]]
+            counts = [1 if w.isalpha() else sum(1 for _ in self.parts.finditer(w)) for w in some]
+            if len(ends) != sum(counts):
                 for w in some:
                     seen[w] = self.whole(w)
                 continue
-            raw, begin = _pack(ids), 0
-            for w, k in zip(some, cut, strict=True):
+            raw, begin, part = _pack(ids), 0, 0
+            for w, n in zip(some, counts, strict=True):
+                part += n
+                k = ends[part - 1] if part else 0
                 seen[w] = raw[4 * begin : 4 * k]
                 begin = k
-        for w in words:
-            if w not in seen:
-                # a word and one sign after it are two words to the tokenizer
-                stem, sign = w[:-1], w[-1]
-                if sign in self.signs and stem in seen and stem.isalpha():
-                    seen[w] = seen[stem] + self.signs[sign]
-                else:
-                    seen[w] = self.whole(w)
+
+    def _words(self, text: str) -> list[str] | None:
+        """The words to look up; None for a text that goes to the tokenizer whole."""
+        if not self.by_word or any(x in text for x in "\x1c\x1d\x1e\x1f"):
+            return None
+        lower = text.lower()
+        if any(x in lower for x in self.special):
+            return None
+        try:
+            text.encode("latin-1")
+            return lower.split()
+        except UnicodeEncodeError:
+            # lower case of some other letters depends on their place: the tokenizer's business
+            words = text.split()
+            return words if len(text) <= self.long * len(words) else None
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text in turn; texts are taken some at a time to bound memory."""
@@ -94,25 +126,36 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.seen) > self.limit:
             self.seen.clear()
-        split: list[list[str] | None] = []
-        new: set[str] = set()
+        get = self.seen.__getitem__
+        found: list[bytes | None] = []
+        missed: list[tuple[int, list[str]]] = []
         for t in texts:
+            words = self._words(t)
+            if words is None:
+                found.append(self.whole(t))
+                continue
             try:
-                t.encode("latin-1")
-                words = None if self.ODD.search(t) else t.lower().split()
-            except UnicodeEncodeError:
-                words = None
-            split.append(words)
-            if words:
-                new.update(words)
-        new = new.difference(self.seen)
-        if new:
-            # stems first, so that a word with a sign finds its stem
-            stems = {w[:-1] for w in new if w[-1] in self.signs and w[:-1].isalpha()}
-            self._learn(list(stems.difference(self.seen) | new))
-        get = self.seen.__getitem__
-        for t, words in zip(texts, split, strict=True):
-            yield self.whole(t) if words is None else b"".join(map(get, words))
+                found.append(b"".join(map(get, words)))
+            except KeyError:
+                missed.append((len(found), words))
+                found.append(None)
+        new: set[str] = set()
+        for _, words in missed:
+            new.update(words)
+        self._learn(list(new.difference(self.seen)))
+        for k, words in missed:
+            found[k] = b"".join(map(get, words))
+        return iter(found)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a file; a Python worker keeps it, and the words it has seen, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -122,24 +165,30 @@ def _pack(ids: list[int]) -> bytes:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): documents as ids, cut only where longer than capacity."""
+    """(doc_id, piece, start, length, ids_crc32, salt): documents as ids, cut only where longer than capacity.
+
+    salt: a number of the row, which tells rows apart that are equal in all else.
+    """
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        encoder, tail = WordEncoder(path), _pack([end])
+        encoder, tail = word_encoder(path), _pack([end])
+        salt = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
                 raw += tail
+                salt += 1
                 for k in range(-(-len(raw) // (4 * capacity))):
                     part = raw[4 * capacity * k : 4 * capacity * (k + 1)]
-                    for column, v in zip(out, (i, k, k * capacity, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for column, v in zip(out, (i, k, k * capacity, len(part) // 4, zlib.crc32(part), salt), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -305,7 +354,7 @@ def _packer(level: int, capacity: int):
         filled = np.zeros(len(bins), np.int64)
         np.add.at(filled, which, lengths)
         places = np.cumsum(lengths) - lengths - (np.cumsum(filled) - filled)[which]
-        out = part.take(pa.array(order)).select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        out = part.take(pa.array(order)).select(["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
         ids = (np.int64(level) << 56) + (np.int64(key[0].as_py()) << 24) + which
         return out.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(places)).append_column("filled", pa.array(filled[which]))
 
@@ -319,18 +368,18 @@ def packed(docs: DataFrame, path: str, scratch: Scratch, capacity: int = CAPACIT
     documents of the others are dealt anew with those of other shards.
     """
     left = scratch.keep(token_pieces(docs, path, capacity))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, filled long"
     done: DataFrame | None = None
     level, n = 0, left.count()
     while True:
         shards = 1 if n <= 2 * shard else -(-n // shard)
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.lit(level)), F.lit(shards)))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "salt", F.lit(level)), F.lit(shards)))
         out = scratch.keep(dealt.groupBy("shard").applyInArrow(_packer(level, capacity), schema))
         open_ = F.col("filled") < int(capacity * enough)
         rest = 0 if shards == 1 else out.where(open_).count()
         # dealing on ends when one shard held all, or when most documents came back
         if rest == 0 or rest > n // 2:
-            return out if done is None else done.unionByName(out)
+            return (out if done is None else done.unionByName(out)).drop("salt")
         full = out.where(~open_)
         done = full if done is None else done.unionByName(full)
         left, n, level = out.where(open_).drop("sequence_id", "offset", "filled"), rest, level + 1

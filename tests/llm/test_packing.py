@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 
@@ -20,6 +21,41 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_get_whole_texts():
+    enc = packing.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    assert not enc.by_word and packing.WordEncoder(tokenizer_path()).by_word
+    for t, raw in zip([t or "" for t in TEXTS], enc.encode([t or "" for t in TEXTS]), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(None, "")] * 4000, "doc_id long, text string")
+    out = packing.packed(docs, tokenizer_path(), Scratch(spark, "t"), shard=1000)
+    assert out.count() == 4000 and out.select("sequence_id").distinct().count() >= 1
+    pieces = packing.token_pieces(docs.repartition(3), tokenizer_path())
+    assert pieces.select("salt").distinct().count() == 4000
+
+
+def best_fit(lengths, capacity=4096):
+    """Bins that best fit from the longest opens."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(room, n)
+        r = room.pop(at) - n if at < len(room) else capacity - n
+        bisect.insort(room, r)
+    return len(room)
+
+
+@pytest.mark.parametrize("kinds", [[2112, 1088, 1152, 896, 896], [1640, 1420, 1300, 1036, 1000]])
+def test_local_search_beats_best_fit(kinds):
+    rng = random.Random(4)
+    lengths = [n for n in kinds for _ in range(120)]
+    rng.shuffle(lengths)
+    bins = packing.pack(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert len(bins) < best_fit(lengths)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_local_search_reaches_the_bound(seed):
     rng = random.Random(seed)
