@@ -2,15 +2,16 @@
 
 A text's terms are its lower-cased words without signs around them and the words' first four
 and five characters, each hashed into ``2**BITS`` buckets and counted once. On a bounded sample
-of labelled rows the buckets that tell the classes apart best are chosen, and a factorization
-machine learns a weight and a factor vector for each; the product of two factor vectors is what
-the two terms say together beyond their own weights, such as an insult next to a group's name.
-All texts are scored whole.
-
-Defined cases: a null or empty text has no terms and gets the model's base score; a null
-``doc_id`` is scored like any other and is never in the training sample; without usable labels
-every score is the smoothed base rate; repeated labels of a document count once, as the highest;
-an empty table gives no rows; other columns are not read.
+of labelled rows a factorization machine learns a weight and a factor vector for every bucket
+that occurs in ``min_rows`` of them, whether it tells the classes apart by itself or not; the
+product of two factor vectors is what the two terms say together beyond their own weights, such
+as an insult next to a group's name. All texts are scored whole.
+
+Defined cases: a null or empty text, or one without a learnt term, has the model's base score; a
+text of any length has one number a term; a null ``doc_id`` is scored like any other and is never
+in the training sample; without usable labels every score is the smoothed base rate; repeated
+labels of a document count once, as the highest; documents that repeat a labelled id are rows of
+their own; an empty table gives no rows; other columns are not read.
 """
 
 import math
@@ -69,116 +70,103 @@ class Terms:
         return out
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows of ``values``, so many for each of ``sizes``."""
+    padded = np.concatenate([values, np.zeros((1, *values.shape[1:]), values.dtype)])
+    out = np.add.reduceat(padded, np.cumsum(sizes) - sizes, axis=0) if len(sizes) else padded[:0]
+    out[sizes == 0] = 0
+    return out
+
+
 @dataclass
 class Model:
-    """bias, one weight and ``k`` factors for each chosen bucket."""
+    """bias, one weight and ``k`` factors for each learnt bucket."""
 
     buckets: list[int]
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, active: list[int]) -> float:
-        if not active:
-            z = self.bias
-        else:
-            v = self.factors[active]
-            total = v.sum(0)
-            z = self.bias + self.weights[active].sum() + 0.5 * float((total * total).sum() - (v * v).sum())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(z)))))
+    def scores(self, active: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores of texts with so many features each, which ``active`` has in turn."""
+        v = self.factors[active].astype(np.float64)
+        total, own = _sums(v, sizes), _sums((v * v).sum(1), sizes)
+        z = self.bias + _sums(self.weights[active].astype(np.float64), sizes) + 0.5 * ((total * total).sum(1) - own)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: list[tuple[int, list[int]]], buckets: list[int], factors: int = 8, epochs: int = 15, steps: int = 1200, batch: int = 512, rate: float = 0.02, decay: float = 3e-5, seed: int = 7) -> Model:
-    """Fits a model by mini-batch Adam on (label, active features) rows: ``epochs`` passes, and ``steps`` steps at least."""
+def train(y: np.ndarray, active: np.ndarray, sizes: np.ndarray, buckets: list[int], factors: int = 8, epochs: int = 8, steps: int = 400, batch: int = 512, rate: float = 0.03, decay: float = 3e-5, seed: int = 7) -> Model:
+    """Fits a model by mini-batch Adam: ``epochs`` passes, and ``steps`` steps at least.
+
+    y: labels of the rows. active, sizes: their features in turn, and how many each has.
+    """
     rng = np.random.default_rng(seed)
-    n, d = len(rows), len(buckets)
-    y = np.array([r[0] for r in rows], np.float32)
+    n, d = len(y), len(buckets)
+    y = y.astype(np.float32)
     rate0 = (float(y.sum()) + 1) / (n + 2)
     bias = math.log(rate0 / (1 - rate0))
     params = [np.array([bias], np.float32), np.zeros(d, np.float32), rng.normal(0, 0.05, (d, factors)).astype(np.float32)]
     if not d or not n or y.min() == y.max():
         return Model(buckets, bias, params[1], params[2] * 0)
-    x = np.zeros((n, d), np.float32)
-    for i, (_, active) in enumerate(rows):
-        x[i, active] = 1
+    begins = np.cumsum(sizes) - sizes
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     t = 0
     for _ in range(max(epochs, -(-steps // -(-n // batch)))):
         for at in np.array_split(rng.permutation(n), -(-n // batch)):
             t += 1
-            xb, v = x[at], params[2]
-            total = xb @ v
-            z = params[0][0] + xb @ params[1] + 0.5 * ((total * total).sum(1) - xb @ (v * v).sum(1))
+            many = sizes[at]
+            row = np.repeat(np.arange(len(at)), many)
+            x = active[np.arange(len(row)) + np.repeat(begins[at] - (np.cumsum(many) - many), many)]
+            v = params[2][x]
+            total = _sums(v, many)
+            z = params[0][0] + _sums(params[1][x], many) + 0.5 * ((total * total).sum(1) - _sums((v * v).sum(1), many))
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) / len(at)
-            grads = [np.array([e.sum()], np.float32), xb.T @ e + decay * params[1], xb.T @ (e[:, None] * total) - v * (xb.T @ e)[:, None] + decay * v]
+            each = e[row]
+            pull = each[:, None] * (total[row] - v)
+            grads = [np.array([e.sum()], np.float32), np.bincount(x, each, d).astype(np.float32), np.stack([np.bincount(x, pull[:, j], d) for j in range(factors)], 1).astype(np.float32)]
             for p, g, a, b in zip(params, grads, first, second, strict=True):
+                if p is not params[0]:
+                    g += decay * p
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
     return Model(buckets, float(params[0][0]), params[1], params[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int = 20_000, max_terms: int = 1024) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int = 20_000, min_rows: int = 3) -> Model:
     """A model from at most ``max_rows`` labelled rows outside the held-out fold.
 
     The sample is those with the smallest hash of the id. Only ``labels`` decides about it, so
-    its size bounds what is broadcast and what the driver gets: a label and at most
-    ``max_terms`` numbers a row.
+    its size bounds what is broadcast and what the driver gets: an id, a label and the buckets of
+    a text a row. min_rows: a bucket that fewer of these rows have is not learnt.
     """
     sample = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     sample = scratch.keep(sample.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("y", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
 
     def all_buckets(batches):
         import pyarrow as pa
 
         terms = Terms()
         for b in batches:
-            found = [sorted(terms.of(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "buckets"])
-
-    rows = scratch.keep(texts.mapInArrow(all_buckets, "y int, buckets array<int>"))
-
-    def counts(batches):
-        import pyarrow as pa
-
-        seen = [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)]
-        for b in batches:
-            y = b.column(0).to_numpy()
-            flat = b.column(1).flatten().to_numpy()
-            which = np.repeat(y, b.column(1).value_lengths().to_numpy())
-            for c in (0, 1):
-                seen[c] += np.bincount(flat[which == c], minlength=1 << BITS)
-        at = np.flatnonzero(seen[0] + seen[1])
-        for part in np.array_split(at, max(1, len(at) // 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0][part]), pa.array(seen[1][part])], ["bucket", "neg", "pos"])
-
-    sums = rows.mapInArrow(counts, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    n0, n1 = float(size.get(0, 0)), float(size.get(1, 0))
-    if not n0 or not n1:
-        return train([(y, []) for y, n in size.items() for _ in range(n)], [])
-
-    def part(seen, expected):
-        return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
-
-    pos, neg, all_ = F.col("pos").cast("double"), F.col("neg").cast("double"), F.lit(n0 + n1)
-    have = pos + neg
-    told = sum((part(a, have * n / all_) + part(F.lit(n) - a, (all_ - have) * n / all_) for a, n in ((pos, n1), (neg, n0))), F.lit(0.0))
-    best = sums.where("pos + neg >= 3").withColumn("told", told).where("told > 6.6").orderBy(F.desc("told"), "bucket").limit(max_terms).collect()
-    buckets = [r["bucket"] for r in best]
-    place = {b: i for i, b in enumerate(buckets)}
-
-    def chosen(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = [[place[k] for k in row if k in place] for row in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["y", "active"])
-
-    data = [(r["y"], r["active"]) for r in rows.mapInArrow(chosen, "y int, active array<int>").collect()]
-    data.sort()
-    return train(data, buckets)
+            found = [sorted(terms.of(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "buckets"])
+
+    rows = texts.mapInArrow(all_buckets, "doc_id long, y int, buckets array<int>").toArrow().combine_chunks()
+    sizes = rows["buckets"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rows["buckets"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    # in an order that does not depend on how the rows came
+    begins = np.cumsum(sizes) - sizes
+    order = np.lexsort((_sums(flat.astype(np.int64), sizes), sizes, rows["doc_id"].to_numpy()))
+    flat = flat[np.arange(len(flat)) + np.repeat(begins[order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order])]
+    y, sizes = rows["y"].to_numpy()[order], sizes[order]
+
+    learnt = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= min_rows)
+    place = np.full(1 << BITS, -1)
+    place[learnt] = np.arange(len(learnt))
+    active = place[flat]
+    sizes = _sums((active >= 0).astype(np.int64), sizes)
+    return train(y, active[active >= 0], sizes, learnt.tolist())
 
 
 def held_out(doc_id):
@@ -186,6 +174,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _scores(model: Model, terms: "Terms", texts: list[str | None]) -> np.ndarray:
+    """Scores of texts, so many at a time as have some hundred thousand characters."""
+    out, some, size = [np.zeros(0)], [], 0
+    for k, t in enumerate(texts):
+        some.append(terms.of(t))
+        size += len(t or "")
+        if size > 500_000 or k + 1 == len(texts):
+            sizes = np.array([len(x) for x in some], np.int64)
+            out.append(model.scores(np.fromiter((f for x in some for f in sorted(x)), np.int64, int(sizes.sum())), sizes))
+            some, size = [], 0
+    return np.concatenate(out)
+
+
 def scored(docs: DataFrame, model: Model, column: str = "score", threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
 
@@ -194,8 +195,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score", threshold: floa
 
         terms = Terms({b: i for i, b in enumerate(model.buckets)})
         for b in batches:
-            scores = [model.score(sorted(terms.of(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", column])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, terms, b.column(1).to_pylist()), pa.float64())], ["doc_id", column])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {column} double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), column, (F.col(column) >= threshold).cast("int").alias("predicted"))
@@ -207,9 +207,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
 
     @pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-
         terms = Terms({b: i for i, b in enumerate(model.buckets)})
         for texts in parts:
-            yield pd.Series([model.score(sorted(terms.of(t))) for t in texts], dtype="float64")
+            yield pd.Series(_scores(model, terms, texts.tolist()))
 
     return docs.where(score(F.col("text")) < threshold)

@@ -1,5 +1,9 @@
+import math
 import random
 
+import numpy as np
+import pytest
+
 from loomcorpus.llm import toxicity
 from loomcorpus.llm.shared import Scratch
 
@@ -42,3 +46,35 @@ def test_no_labels_and_no_rows(spark):
     model = toxicity.fit(docs, none, Scratch(spark, "t"))
     assert {r.score for r in toxicity.scored(docs, model).collect()} == {0.5}
     assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+def naive(model, text):
+    """A score by the formula of the model, pair by pair."""
+    place = {b: i for i, b in enumerate(model.buckets)}
+    on = sorted({place[b] for w in (text or "").lower().split() for b in toxicity.term_buckets(w) if b in place})
+    z = model.bias + sum(float(model.weights[i]) for i in on)
+    z += sum(float(np.dot(model.factors[i].astype(float), model.factors[j].astype(float))) for k, i in enumerate(on) for j in on[k + 1 :])
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+@pytest.mark.parametrize("rule", ["xor", "and"])
+def test_pairs_that_tell_nothing_alone(spark, rule):
+    """Toxic by two terms of which neither tells anything (xor), held-out accuracy and every score anew."""
+    rng, rows = random.Random(9), []
+    for i in range(5000):
+        words = [f"word{rng.randrange(60)}" for _ in range(12)]
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words += ["blorg!"] * insult + ["martians"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult != group if rule == "xor" else insult and group)))
+    rows.append((5000, "blorg " + "word3 " * 200_000, 1))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, Scratch(spark, "t"))
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    held = [(i, y) for i, _, y in rows if got[i].held_out]
+    assert sum(int(got[i].score >= 0.5) == y for i, y in held) > 0.95 * len(held)
+    for i, t, _ in rows[::25] + rows[-1:]:
+        assert abs(got[i].score - naive(model, t)) < 1e-5
+    again = toxicity.fit(docs.repartition(5), labels, Scratch(spark, "t"))
+    assert again.buckets == model.buckets and np.array_equal(again.factors, model.factors)
