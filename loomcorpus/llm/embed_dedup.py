@@ -48,7 +48,8 @@ def _matrix(column) -> np.ndarray:
 def _assign(found: np.ndarray, threshold: float):
     """(label, cell, home, id, m, vec) for a vector's own cell and the later ones it must visit."""
     reach = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
-    gaps = np.linalg.norm(found[:, None, :] - found[None, :, :], axis=2) if len(found) else np.zeros((0, 0))
+    # vectors at a time: so that their products with all centres stay some tens of MB
+    many = max(1, 4_000_000 // max(1, len(found)))
 
     def run(batches):
         import pyarrow as pa
@@ -63,12 +64,14 @@ def _assign(found: np.ndarray, threshold: float):
                     cells.append(np.zeros(len(at), np.int64))
                     home.append(np.ones(len(at), bool))
                     continue
-                for some in np.array_split(at, -(-len(at) // 2000)):
+                for some in np.array_split(at, -(-len(at) // min(many, 2000))):
                     x = _matrix(b.column("vec").take(pa.array(some)))
                     dots = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ found.T
                     own = dots.argmax(1)
                     ahead = dots[np.arange(len(some)), own][:, None] - dots
-                    goes = (ahead <= reach * gaps[own]) & (np.arange(len(found))[None, :] >= own[:, None])
+                    # how far apart unit centres are, from their products
+                    gaps = np.sqrt(np.maximum(0, 2 - 2 * (found[own] @ found.T)))
+                    goes = (ahead <= reach * gaps + 1e-9) & (np.arange(len(found))[None, :] >= own[:, None])
                     goes[np.arange(len(some)), own] = True
                     i, c = np.nonzero(goes)
                     rows.append(some[i])
@@ -128,7 +131,8 @@ def linked(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, sample
     """(vec_id, n_links, component_id, kept) of every vector.
 
     sample: rows the centres are fitted on at most. cells: their number; by default it grows
-    with the square root of the table. block: vectors on each side of a product at most.
+    with the square root of the table, up to a centre for four rows of the sample. block: vectors
+    on each side of a product at most.
     """
     vec = F.col("embedding").cast("array<double>")
     good = (F.col("label").isNotNull() & F.col("embedding").isNotNull()) & (F.size("embedding") > 0)
@@ -142,7 +146,7 @@ def linked(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, sample
     classes = scratch.keep(grouped.select(F.xxhash64("h1", "h2").alias("id"), "label", "h1", "h2", "vec", "m", "first"))
 
     n = classes.count()
-    k = cells or max(1, min(1024, round(math.sqrt(n) / 16)))
+    k = cells or max(1, min(sample // 4, round(math.sqrt(n) / 16)))
     picked = classes.select("id", "vec").orderBy(F.xxhash64("id")).limit(sample).collect()
     sizes = [len(r.vec) for r in picked]
     found = np.zeros((0, 0))

@@ -12,8 +12,11 @@ two steps (within hash buckets, then over bucket totals), so a source that holds
 rows is dealt over many tasks.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after the others;
-a null ``doc_id`` is kept; repeated rows count as documents of their own; an empty table gives
-no rows; other columns are carried through by ``mixed_documents`` and ignored elsewhere.
+a document without a ``doc_id`` is dealt by its text; repeated rows count as documents of their
+own; texts of any length are counted whole; a document of which nothing is taken has no slot; an
+empty table gives no rows; other columns are carried through by ``mixed_documents`` and ignored
+elsewhere. Rows that differ in nothing but a column that cannot be hashed (a map, a variant) are
+told apart by no order, so which of them is cut is open.
 """
 
 from __future__ import annotations
@@ -46,8 +49,9 @@ class Mixture:
         """weights: of the sources in code point order, repeating. share: of all words. block: words a slot takes; grows only to keep the slots below 2**31. buckets: a power of 16, of the shuffled order."""
         spark = docs.sparkSession
         digits = round(math.log(buckets, 16))
-        narrow = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64(*_hashable(docs)).alias("__hash"))
-        narrow = narrow.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        narrow = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), word_count(F.col("text")).alias("size"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.col("text")), F.lit("")).alias("name"), F.xxhash64(*_hashable(docs)).alias("__hash"))
+        # without an id the text deals a document, so that many such rows are no one key
+        narrow = narrow.withColumn("key", F.md5(F.col("name").cast("binary")))
         narrow = narrow.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"))
         # the order of repeated ids is by size and then by content, so reruns agree
         order = W.partitionBy("src", "bucket").orderBy("key", "size", "__hash")
@@ -98,20 +102,28 @@ class Mixture:
         cut = turns.withColumn("r", F.explode(F.sequence(F.floor(F.col("low") / self.block).cast("long"), F.floor((F.col("high") - 1) / self.block).cast("long"))))
         cut = cut.select("doc_id", "src", "key", "occ", "turn", "r", F.greatest("low", F.col("r") * self.block).alias("low"), F.least("high", (F.col("r") + 1) * self.block).alias("high"), F.col("low").alias("first"))
         self.parts = cut.join(self.slots.hint("merge"), ["src", "r"]).select("slot", "doc_id", "src", "key", "occ", "turn", (F.col("low") - F.col("first")).alias("word_from"), (F.col("high") - F.col("low")).alias("words"))
-        taken = self.parts.groupBy("src", "key", "occ").agg(F.sum("words").alias("taken"))
+        taken = self.parts.groupBy("src", "key", "occ").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
         self.taken = placed.join(taken, ["src", "key", "occ"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, scratch: Scratch, in_order: bool = False, **options) -> DataFrame:
     """The mix as documents: a row for every pass over a document, with all its columns.
 
+    in_order: by the slots that the passes begin in, over range partitions and within them.
+
     A pass that the mix ends inside a document keeps the words up to there and the white space
     between them. Rows of one document in several passes are equal.
     """
     mix = Mixture(docs, scratch, **options)
     hashed = docs.withColumn("__hash", F.xxhash64(*_hashable(docs)))
     hashed = hashed.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__hash").orderBy(F.lit(0))))
-    takes = mix.taken.where("taken > 0").select(F.col("doc_id").alias("__id"), "__hash", "size", "taken", F.row_number().over(W.partitionBy("doc_id", "__hash").orderBy("src", "start")).alias("__n"))
+    begun = F.array_sort(F.collect_list(F.struct("turn", "slot")))
+    if in_order:
+        turns = mix.parts.groupBy("src", "key", "occ", "turn").agg(F.min("slot").alias("slot")).groupBy("src", "key", "occ").agg(begun.alias("begun"))
+        named = mix.taken.join(turns, ["src", "key", "occ"], "left")
+    else:
+        named = mix.taken.withColumn("begun", F.lit(None).cast("array<struct<turn:int,slot:bigint>>"))
+    takes = named.where("taken > 0").select(F.col("doc_id").alias("__id"), "__hash", "size", "taken", F.col("begun").alias("__begun"), F.row_number().over(W.partitionBy("doc_id", "__hash").orderBy("src", "start")).alias("__n"))
     takes = takes.withColumnRenamed("__hash", "__h").withColumnRenamed("__n", "__m").withColumnRenamed("size", "__size").withColumnRenamed("taken", "__taken")
     both = hashed.join(takes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & (F.col("__n") == F.col("__m")))
     both = both.withColumn("__turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("long"))))
@@ -123,4 +135,7 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     both = both.withColumn("text", F.when(F.col("__left") < F.col("__size"), head).otherwise(F.col("text")))
     if dict(docs.dtypes).get("n_chars") in ("bigint", "int"):
         both = both.withColumn("n_chars", F.when(F.col("__left") < F.col("__size"), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    if in_order:
+        slot = F.get("__begun", F.col("__turn").cast("int"))["slot"]
+        both = both.withColumn("__slot", slot).repartitionByRange("__slot", "doc_id").sortWithinPartitions("__slot", "doc_id")
     return both.select(*[F.col(f"`{c}`") for c in docs.columns])

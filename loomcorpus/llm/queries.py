@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcorpus.llm import embed_dedup, line_dedup, mixing, packing, simhash, spans, token_rollup, topk, toxicity, url_filter
@@ -26,12 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.Mixture(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
-    return mix.taken.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mix.taken.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot")
 
 
 ORACLE["op9_mix_sources"] = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -42,13 +42,25 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(weight * max(level) OVER (), 3.0 * source_size)::DOUBLE AS target FROM l
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS quota,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS quota,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '=' || d.text, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), counted AS (
+  SELECT source, ceil(round(target) / 512)::BIGINT AS n FROM t
+), low AS (
+  SELECT source, n, coalesce(sum(n) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low FROM counted
+), m AS (
+  SELECT sum(n)::BIGINT AS m, greatest(1, round(sum(n) * (sqrt(5) - 1) / 2))::BIGINT AS near FROM low
+), g AS (
+  SELECT m, min(near + k) AS g FROM (SELECT m, near, unnest(range(0, 1000)) AS k FROM m) WHERE gcd(near + k, m) = 1 GROUP BY m
+), slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r
+  FROM (SELECT i AS slot, i * g % m AS point FROM (SELECT m, g, unnest(range(0, m)) AS i FROM g)) x JOIN low ON point >= low.low AND point < low.low + low.n
+), taken AS (
+  SELECT *, (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) + greatest(0, least(size, quota - 2 * source_size - start)))::BIGINT AS taken FROM p
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-  (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) + greatest(0, least(size, quota - 2 * source_size - start)))::BIGINT AS taken
-FROM p
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken, CASE WHEN taken > 0 THEN slot END::BIGINT AS first_slot
+FROM taken LEFT JOIN slots ON slots.source IS NOT DISTINCT FROM taken.source AND slots.r = taken.start // 512
 """
 
 
@@ -82,7 +94,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.removed_ranges(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+    return spans.removed_ranges(table(spark, sf_dir, "documents"), Scratch(spark, "op4")).drop("rid")
 
 
 @query
@@ -141,7 +153,7 @@ UNION ALL
 SELECT source, lang, 'pieces-1', count(*)::BIGINT, coalesce(sum(pieces), 0)::BIGINT FROM c GROUP BY source, lang
 """
 
-#: A fixed day-of-log rule for every host, so both engines make the same list.
+#: A fixed day-of-log rule for every host; the query makes the same list, with one look at a host.
 LIST_LOG = r"""
 WITH hosts AS (
   SELECT DISTINCT {host} AS host FROM pages WHERE url IS NOT NULL
@@ -165,9 +177,21 @@ UNION ALL SELECT 'parents', 'domain', 'example.net', 'add', 300
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page is a capture, fetched on a day that its id gives."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    pages.createOrReplaceTempView("loom_op8_pages")
-    host = rf"regexp_extract(lower(url), r'{url_filter.HOST}', 1)"
-    log = spark.sql(LIST_LOG.format(host=host).replace("FROM pages", "FROM loom_op8_pages")).withColumnRenamed("day", "at")
+    captured = pages.select(F.regexp_extract(F.lower("url"), url_filter.HOST, 1).alias("host")).where("host <> ''").distinct()
+    a, b, c, d = (F.ascii(F.substring(F.md5(F.col("host").cast("binary")), k, 1)) for k in (1, 2, 3, 4))
+    first = (a * 7 + b * 13) % 300
+
+    def entry(name: str, kind: str, pattern: Column, action: str, at: Column, where: Column | None = None) -> Column:
+        made = F.struct(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), at.cast("int").alias("at"))
+        return made if where is None else F.when(where, made)
+
+    host, de, fr = F.col("host"), F.concat("host", F.lit("/de")), F.concat("host", F.lit("/fr"))
+    entries = [
+        entry("spam", "domain", host, "add", first), entry("spam", "domain", host, "remove", first + 40, c % 2 == 0), entry("spam", "domain", host, "add", first + 80, d % 3 == 0),
+        entry("languages", "prefix", de, "add", (c * 11 + d) % 365), entry("languages", "prefix", fr, "add", (b * 11 + d) % 200), entry("languages", "prefix", fr, "remove", (b * 11 + d) % 200 + 100),
+    ]
+    log = captured.select(F.explode(F.array(*entries)).alias("e")).where("e is not null").select("e.*")
+    log = log.unionByName(spark.createDataFrame([("parents", "domain", "example.net", x, at) for x, at in (("add", 100), ("remove", 160), ("add", 300))], "list string, kind string, pattern string, action string, at int"))
     captures = pages.withColumn("fetched_at", F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int"))
     out = url_filter.judged(captures, log)
     return out.select("page_id", "url", "fetched_at", "blocked", "hits", F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("listed_since", F.lit(-1)).alias("listed_since"))

@@ -8,12 +8,15 @@ joined globally; the first span of a hash is the one in the smallest ``doc_id``
 earliest), and every other one is removed. Overlapping removed spans are one range.
 
 Only hashes, ids and character positions leave the Python workers; a span that is very common
-is reduced to its smallest id by partial aggregation, and the join back is split by skew.
-
-Defined cases: a null, empty or one-sentence text has no spans; rows that repeat a ``doc_id``
-are one document, of which nothing is removed for the other's sake; documents without a
-``doc_id`` come after all others, as one; an empty table gives no rows; other columns are kept
-by ``cleaned`` and not read elsewhere. Spans are told apart by 64 hash bits.
+is reduced to its first document by partial aggregation and written, and the join back to it is
+one that adaptive execution splits by skew.
+
+Defined cases: a null, empty or one-sentence text has no spans; a text of any length is taken
+whole. Rows of one ``doc_id`` and one text are one document, of which nothing is removed for the
+other's sake; rows that share an id, or have none, with different texts are different documents,
+in the order of hashes of their texts; those without an id come after all others. An empty table
+gives no rows; other columns are kept by ``cleaned`` and not read elsewhere. Spans are told apart
+by 64 hash bits, texts of one id by as many.
 """
 
 from __future__ import annotations
@@ -90,18 +93,21 @@ def _spans(sentences: int, words: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
 
             def batch(out=out):
-                return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.array(out[2], np.int32)), pa.array(np.array(out[3], np.int32)), pa.array(out[4], pa.bool_())], ["hash", "doc_id", "start", "end", "again"])
+                return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], *[pa.array(np.array(c, np.int32)) for c in out[3:5]], pa.array(out[5], pa.bool_())], ["hash", "doc_id", "rid", "start", "end", "again"])
 
             for i, text in zip(ids, texts, strict=True):
                 seen: set[int] = set()
+                # as the engine's own function has it
+                rid = np.uint64(xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)).astype(np.int64)
                 for h, start, end in sentence_spans(text, sentences, words):
-                    for column, v in zip(out, (h, i, start, end, h in seen), strict=True):
+                    for column, v in zip(out, (h, i, rid, start, end, h in seen), strict=True):
                         column.append(v)
                     seen.add(h)
                 if len(out[0]) > 50_000:
@@ -114,26 +120,30 @@ def _spans(sentences: int, words: int):
 
 
 def removed_ranges(docs: DataFrame, scratch: Scratch, sentences: int = 2, words: int = 20) -> DataFrame:
-    """(doc_id, start, end, spans, first_doc_id): character ranges that repeat an earlier text.
+    """(doc_id, rid, start, end, spans, first_doc_id): character ranges that repeat an earlier text.
 
-    first_doc_id is the smallest document that one of the range's spans was first seen in.
+    rid: the hash of the text, which tells rows of one id apart. first_doc_id is the smallest
+    document that one of the range's spans was first seen in.
     """
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").mapInArrow(_spans(sentences, words), "hash long, doc_id long, start int, end int, again boolean")
+    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").mapInArrow(_spans(sentences, words), "hash long, doc_id long, rid long, start int, end int, again boolean")
     found = scratch.keep(found)
-    first = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("again_in")).where("first < last or again_in").select("hash", "first")
-    hits = found.join(first, "hash").where("doc_id > first or again").select("doc_id", "start", "end", "first")
+    # a document's place in one number, of fixed width so that partial aggregation needs no sorting
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.pmod("rid", F.lit(2**32)).cast("decimal(10,0)")
+    found = found.withColumn("place", place.cast("decimal(38,0)"))
+    first = found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("again").alias("again_in")).where("first < last or again_in").select("hash", "first")
+    hits = found.join(scratch.keep(first).hint("merge"), "hash").where("place > first or again").select("doc_id", "rid", "start", "end", F.floor(F.col("first") / F.lit(2**32).cast("decimal(10,0)")).cast("long").alias("first"))
     # ranges: a span that starts after all earlier ones ended begins a new one
-    order = W.partitionBy("doc_id").orderBy("start", "end")
+    order = W.partitionBy("doc_id", "rid").orderBy("start", "end")
     hits = hits.withColumn("reach", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
     hits = hits.withColumn("range", F.sum((F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = hits.groupBy("doc_id", "range").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("spans"), F.min("first").alias("first_doc_id"))
-    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "start", "end", "spans", F.nullif("first_doc_id", F.lit(LAST)).alias("first_doc_id"))
+    out = hits.groupBy("doc_id", "rid", "range").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("spans"), F.min("first").alias("first_doc_id"))
+    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "rid", "start", "end", "spans", F.nullif("first_doc_id", F.lit(LAST)).alias("first_doc_id"))
 
 
 def cleaned(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The documents with their removed ranges cut out of ``text``; other columns stay."""
     ranges = removed_ranges(docs, scratch, **options)
-    cut = ranges.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    cut = ranges.groupBy(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, cut: pd.Series) -> pd.Series:
@@ -148,5 +158,5 @@ def cleaned(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
 
         return pd.Series([one(t, c) for t, c in zip(text, cut, strict=True)], dtype=object)
 
-    both = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    both = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rid")), "left")
     return both.select(*[without("text", "__cut").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

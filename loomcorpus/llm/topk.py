@@ -10,7 +10,7 @@ only in the first segment that is nearest, so no pair is met twice.
 Equal codes are one entry that names its ``k + 1`` smallest ids, enough for any answer; queries
 of equal codes are searched once.
 
-Defined cases: rows with a null id or code are neither indexed nor asked; a row is not its own
+Defined cases: vectors of other lengths than 64 have a code, too (``sign_code``); rows with a null id or code are neither indexed nor asked; a row is not its own
 neighbour, but an equal code of another row is; ties are broken by the smaller id; repeated rows
 of one id count once; a table of fewer than ``k + 1`` rows gives what there is; an empty table
 gives no rows.
@@ -28,9 +28,18 @@ SEGMENTS, WIDTH = 4, 16
 
 
 def sign_code(vec: Column) -> Column:
-    """A vector's code: bit ``i`` is set where component ``i`` of the first 64 is positive."""
-    bits = F.transform(F.slice(vec, 1, 64), lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(vec.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    """A vector's code: bit ``i`` is set where the sum of components i, i + 64, i + 128 .. is positive.
+
+    With 64 components or fewer that is the component itself. A null component counts as zero, a
+    NaN as positive; the code of a null vector is null, that of an empty one zero.
+    """
+
+    def packed(sums: Column) -> Column:
+        bits = F.transform(sums, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    folded = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(F.filter(vec, lambda v, j: F.pmod(j, F.lit(64)) == i), F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0))))
+    return F.when(vec.isNotNull(), F.when(F.size(vec) <= 64, packed(vec)).otherwise(packed(folded)))
 
 
 def _segment(code: Column, j: int) -> Column:

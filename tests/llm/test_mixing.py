@@ -47,3 +47,17 @@ def test_mix(spark):
         words[r.source] = words.get(r.source, 0) + len(r.text.split())
     assert {s: n for s, n in words.items() if n} == {s: n for s, n in by.items() if n}
     assert mixing.Mixture(docs.limit(0), Scratch(spark, "t")).taken.count() == 0
+
+
+def test_order_of_the_emitted_mix(spark):
+    """In the order of their slots the documents of every source come evenly spread."""
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i, f"{i} " * 20, "abc"[i % 7 % 3]) for i in range(900)], "doc_id long, text string, source string")
+    mix = mixing.Mixture(docs, Scratch(spark, "t"), block=20)
+    # documents without an id are dealt like others
+    assert mix.taken.where("doc_id is null").select("key").distinct().count() == 18
+    out = [r.source for r in mixing.mixed_documents(docs, Scratch(spark, "t"), in_order=True, block=20).collect()]
+    first = sorted((r.slot, r.src) for r in mix.parts.collect())
+    for source in "abc":
+        share = out.count(source) / len(out)
+        assert all(abs(out[:k].count(source) - share * k) < 12 for k in range(len(out)))
+        assert abs(share - sum(s == "=" + source for _, s in first) / len(first)) < 0.01

@@ -1,22 +1,22 @@
 import random
 
+import xxhash
+
 from loomcorpus.llm import spans
 from loomcorpus.llm.shared import Scratch
 
 
 def brute(rows, sentences=2, words=20):
-    """Ranges of every non-first span, by doc_id."""
-    seen, first, out = {}, {}, {}
-    for i, t in rows:
-        seen.setdefault(i, []).extend(list(spans.sentence_spans(t, sentences, words)) if t else [])
-    for i in sorted(seen, key=lambda i: (i is None, i or 0)):
+    """Ranges of every non-first span; rows of one id and one text are one document."""
+    first, out = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) % 2**32)):
         local = set()
-        for h, a, b in seen[i]:
-            if h in local or first.setdefault(h, i) != i:
-                out.setdefault(i, []).append((a, b))
+        for h, a, b in spans.sentence_spans(t, sentences, words):
+            if h in local or first.setdefault(h, (i, t)) != (i, t):
+                out.setdefault((i, t), []).append((a, b))
             local.add(h)
     merged = []
-    for i, ranges in out.items():
+    for (i, _), ranges in out.items():
         at = None
         for a, b in sorted(ranges):
             if at and a <= at[1]:
@@ -30,7 +30,7 @@ def brute(rows, sentences=2, words=20):
 def test_spans_of_a_text():
     text = "One two three. Four five!  Six seven eight nine.\n\nTen. eleven"
     got = [text[a:b] for _, a, b in spans.sentence_spans(text, 2, 5)]
-    assert got == ["One two three. Four five!", "Four five!  Six seven eight nine.", "Six seven eight nine.\n\nTen."]
+    assert got == ["One two three. Four five!", "Four five!  Six seven eight nine.", "Six seven eight nine.\n\nTen.", "Six seven eight nine.\n\nTen. eleven"]
     assert list(spans.sentence_spans(None)) == list(spans.sentence_spans("")) == list(spans.sentence_spans("word " * 99)) == []
 
 
@@ -86,3 +86,12 @@ def test_every_repeated_run_is_covered(spark):
                 got.add((r.doc_id, k))
             at += len(part) + 1
     assert got == want and len(want) == 5 * sum(map(len, passages))
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Ranges of one row are not cut out of another of its id; a passage that only such rows share is found."""
+    shared = "Here is a passage of quite a few words that stands in several texts of this little table. It goes on for a second sentence, too."
+    rows = [(None, "Alone one stands here. " + shared), (None, shared + " Alone two stands here."), (5, "Nothing of this text is anywhere else, it has one sentence. And it has this other one that is as long as that."), (5, shared + " Alone three stands here.")]
+    docs = spark.createDataFrame([*rows, (6, "Long text begins. " + "So it goes on and on. " * 30_000)], "doc_id long, text string")
+    got = {(r.doc_id, r.text[:40].strip()) for r in spans.cleaned(docs, Scratch(spark, "t")).where("doc_id is null or doc_id < 6").collect()}
+    assert got == {(None, "Alone one stands here."), (None, "Alone two stands here."), (5, rows[2][1][:40].strip()), (5, shared[:40].strip())}

@@ -15,3 +15,10 @@ def test_entries_are_judged_at_fetch_time(spark):
     assert got == sorted((i, i in blocked, int(i in blocked), *blocked.get(i, (None, None))) for i, *_ in rows)
     assert url_filter.judged(captures, log.limit(0)).where("blocked").count() == 0
     assert url_filter.judged(captures.limit(0), log).count() == 0
+
+
+def test_hosts_and_paths(spark):
+    log = spark.createDataFrame([("l", "domain", "bad.example.", "add", 1), ("l", "domain", "[2001:DB8::1]", "add", 1), ("t", "domain", "zip", "add", 1), ("p", "prefix", "ok.example/a/b/", "add", 1)], LOG)
+    urls = {1: "http://x.bad.example./", 2: "http://[2001:db8::1]:80/z", 3: "https://some.zip/", 4: "http://ok.example/a/b/c?d", 5: "http://ok.example/a/bc", 6: "http://ok.example/a", 7: "http://[2001:db8::2]/", 8: "http://ok.example//a/b/" + "x/" * 100_000}
+    captures = spark.createDataFrame([(i, u, 3) for i, u in urls.items()], "page_id long, url string, fetched_at int")
+    assert {r.page_id: r.lists for r in url_filter.judged(captures, log).collect()} == {1: "l", 2: "l", 3: "t", 4: "p", 5: None, 6: None, 7: None, 8: "p"}
