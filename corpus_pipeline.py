@@ -42,9 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies every stage to documents; each result is written before the next stage reads it."""
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """Applies every stage to documents; each result is written before the next stage reads it.
+
+    What a stage kept for itself, and the result before it, is deleted once its own is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), list(Scratch.made)
+    for name, stage in STAGES:
+        scratch = Scratch(spark, "pipeline-" + name.replace(" ", "-"))
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        for other in [x for x in Scratch.made if x not in before and x is not scratch]:
+            other.drop()
     return docs
