@@ -9,9 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from loomcorpus import schemas
-from loomcorpus.functions.text import json_object, utc_run_id
-from loomcorpus.operators import acquire, apply, checks, clustering, reports, sampling, tables, validity
+from loomcorpus import compose, schemas
+from loomcorpus.functions.text import utc_run_id
+from loomcorpus.operators import acquire, apply, checks, reports, sampling, tables, validity
 from loomcorpus.session import session
 from loomcorpus.sources import files, sinks
 from loomcorpus.sources.runs import RunStore
@@ -37,14 +37,15 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, default=value if not isinstance(value, type) else None, type=value if isinstance(value, type) else (str if value is None else type(value)), required=isinstance(value, type))
 
     command("sample", input=str, output=str, per_year=2500, years=5, seed=42)
-    command("annotate", csv=str, listing=str, folder="thumbnails", out=str, factory=str, prompt=None, limit=0, force=False, dry_run=False)
+    command("scrape", input=str, root=str, listing=str, folder="thumbnails", factory=str, every=10, limit=0, log=None)
+    command("annotate", csv=str, listing=str, folder="thumbnails", out=str, factory=str, prompt=None, model="", temperature=0.0, every=1000, limit=0, force=False, dry_run=False)
     command("preview", folder=str, limit=10, seed=42, min_bytes=4096, include_placeholders=False)
-    command("extract", csv=str, listing=str, folder="thumbnails", root=str, factory=str, limit=0, min_bytes=4096, force=False, dry_run=False, run_id=None)
-    command("extract-patches", root=str, embeddings_run_id=str, csv=str, listing=str, folder="thumbnails", factory=str, patch_size=16, limit=0, min_bytes=4096, force=False, dry_run=False, run_id=None)
-    command("cluster", root=str, run_id=None, out=str, method="hdbscan", pca=50, min_cluster_size=3, min_samples=1, selection="leaf", n_clusters=40, samples=12, seed=42, layout=False)
-    command("cluster-patches", root=str, run_id=str, out=str, pca=50, min_cluster_size=30, min_samples=3, selection="eom", samples=12, seed=42, layout=False)
-    command("check", root=str, run_id=None, dimension=1024, pairs=5, seed=0)
-    command("check-patches", root=str, run_id=str, seed=0)
+    command("extract", csv=str, listing=str, folder="thumbnails", root=str, factory=str, limit=0, min_bytes=4096, every=1000, model="", force=False, dry_run=False, run_id=None)
+    command("extract-patches", root=str, embeddings_run_id=str, csv=str, listing=str, folder="thumbnails", factory=str, patch_size=16, limit=0, min_bytes=4096, every=1000, model="", force=False, dry_run=False, run_id=None)
+    command("cluster", root=str, run_id=None, out=str, metadata=None, method="hdbscan", pca=50, min_cluster_size=3, min_samples=1, selection="leaf", n_clusters=40, samples=12, seed=42, layout=False)
+    command("cluster-patches", root=str, run_id=str, out=str, metadata=str, listing=None, folder="thumbnails", pca=50, min_cluster_size=30, min_samples=3, selection="eom", samples=12, seed=42, layout=False)
+    command("check", root=str, run_id=None, dimension=0, pairs=5, seed=0)
+    command("check-patches", root=str, run_id=str, dimension=0, pairs=5, seed=0)
     return top
 
 
@@ -54,6 +55,15 @@ def _todo(spark, a):
     return validity.usable_paths(rows, listed, "thumbnail_path", a.folder, getattr(a, "min_bytes", validity.MIN_BYTES))
 
 
+def _metadata(spark, path: str):
+    """Metadata rows in file order, with the year of those that have a date."""
+    return files.csv(spark, path, schemas.METADATA + ", thumbnail_path STRING", ordinal="__at").withColumn("year", F.year(F.expr("try_to_date(date)")))
+
+
+def _patches(spark, root: str) -> RunStore:
+    return RunStore(spark, root, "patches", schemas.PATCHES + ", run_id STRING")
+
+
 def _dry(rows) -> int:
     n = rows.count()
     for r in rows.select("image_id").orderBy("image_id").limit(10).collect():
@@ -82,10 +92,8 @@ def main(argv: Sequence[str] | None = None) -> dict:
         if a.dry_run:
             done["todo"] = _dry(rows)
         else:
-            said = apply.annotate(rows, _factory(a.factory), files.prompt(a.prompt, "Describe the picture as JSON."))
-            out = said.withColumn("annotation", json_object(F.col("raw_output")).cast("string")).withColumn("success", F.col("annotation").isNotNull()).withColumn("timestamp", F.unix_timestamp().cast("double"))
-            sinks.append_log(out, log)
-            done |= reports.annotation_stats(spark.read.schema(schemas.ANNOTATION_LOG).json(log), F.col("success"), F.col("request_seconds")).first().asDict()
+            logged = compose.annotate(rows, _factory(a.factory), files.prompt(a.prompt, "Describe the picture as JSON."), a.out, a.model, a.temperature, a.every)
+            done |= reports.annotation_stats(logged, F.col("success"), F.col("request_seconds")).first().asDict()
     elif a.command == "preview":
         found = files.listing_with_sizes(spark, a.folder)
         judged = found.withColumn("v", validity.validity(F.col("length"), F.col("width"), F.col("height"), min_bytes=a.min_bytes))
@@ -93,7 +101,7 @@ def main(argv: Sequence[str] | None = None) -> dict:
         done["pictures"] = [r.asDict(True) for r in rows.collect()]
     elif a.command in ("extract", "extract-patches"):
         patches = a.command == "extract-patches"
-        store = RunStore(spark, a.root, *(("patches", schemas.PATCHES + ", run_id STRING") if patches else ()))
+        store = _patches(spark, a.root) if patches else RunStore(spark, a.root)
         run = a.run_id or now
         rows = _todo(spark, a)
         if patches:
@@ -102,37 +110,45 @@ def main(argv: Sequence[str] | None = None) -> dict:
         if a.dry_run:
             done["todo"] = _dry(rows)
         else:
-            made = (apply.embed_patches(rows, _factory(a.factory), patch_size=a.patch_size) if patches else apply.embed(rows, _factory(a.factory))).cache()
+            factory = _factory(a.factory)
+            embed = (lambda part: apply.embed_patches(part, factory, patch_size=a.patch_size)) if patches else (lambda part: apply.embed(part, factory))
             keep = ["image_id", "grid_shape", "patch_size", "patches"] if patches else ["image_id", "embedding"]
-            store.append(made.where("ok").select(*keep), run)
-            ok, failed = made.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
-            store.record(run, "patches" if patches else "vectors", ok + store.counts(run)[0], failed + store.counts(run)[1], params={k: v for k, v in vars(a).items() if v is not None})
-            made.unpersist()
-            done |= {"run_id": run, "ok": ok, "failed": failed}
+            before = store.counts(run)
+            made = compose.extract(rows, store, run, embed, keep, a.every, {k: v for k, v in vars(a).items() if v is not None})
+            done |= {"run_id": run, "ok": made["ok"] - before[0], "failed": made["failed"] - before[1], "detail": made["detail"]}
+    elif a.command == "scrape":
+        rows = files.csv(spark, a.input, schemas.METADATA)
+        listed = spark.read.schema("path STRING, length BIGINT").parquet(a.listing)
+        done |= compose.Acquisition(spark, a.root).run(rows, listed, a.folder, _factory(a.factory), a.every, a.limit, compose.dual_log("loomcorpus.scrape", a.log))
     elif a.command == "cluster":
         store = RunStore(spark, a.root)
-        rows = store.load(a.run_id)
-        found = clustering.run(rows, "image_id", "embedding", method=a.method, components=a.pca, min_cluster_size=a.min_cluster_size, min_samples=a.min_samples, selection=a.selection, k=a.n_clusters, seed=a.seed, layout=a.layout)
-        sinks.csv(found.assignments, f"{a.out}/assignments")
-        sinks.csv(tables.group_summary(found.assignments, "cluster_id", 1), f"{a.out}/summary")
-        sinks.csv(tables.top_samples(found.assignments, a.samples), f"{a.out}/samples")
+        run = store.resolve(a.run_id, "vectors")
+        meta = _metadata(spark, a.metadata) if a.metadata else None
+        found = compose.cluster(
+            store.load(run), a.out, store, run, meta, samples=a.samples, params=vars(a), method=a.method, components=a.pca, min_cluster_size=a.min_cluster_size,
+            min_samples=a.min_samples, selection=a.selection, k=a.n_clusters, seed=a.seed, layout=a.layout,
+        )
         done |= {"clusters": found.clusters, "noise": found.noise, "explained": round(found.explained, 4), "components": found.pca_components}
     elif a.command == "cluster-patches":
-        flat = apply.flat_patches(RunStore(spark, a.root, "patches", schemas.PATCHES + ", run_id STRING").rows(a.run_id))
-        flat = flat.withColumn("cell", F.concat_ws("|", "image_id", "patch_row", "patch_col"))
-        found = clustering.run(flat, "cell", "vec", components=a.pca, min_cluster_size=a.min_cluster_size, min_samples=a.min_samples, selection=a.selection, seed=a.seed, layout=a.layout)
-        cells = clustering.attach(flat.drop("vec"), found, "cell").select("image_id", "patch_row", "patch_col", F.col("cluster_id").alias("motif_id"), F.col("cluster_probability").alias("motif_probability"), "umap_x", "umap_y")
-        histogram = tables.motif_histogram(cells)
-        for name, df in (("patch_assignments", cells), ("motif_summary", tables.group_summary(cells, "motif_id", 2)), ("histogram", histogram), ("dominant", tables.dominant_motif(histogram)), ("best", tables.best_patch(cells))):
-            sinks.csv(df, f"{a.out}/{name}")
+        store = _patches(spark, a.root)
+        run = store.resolve(a.run_id, "patches")
+        meta = tables.first_metadata(_metadata(spark, a.metadata), "__at").select("image_id", "title", "year", "categories", "thumbnail_path")
+        listed = spark.read.schema("path STRING, length BIGINT").parquet(a.listing) if a.listing else None
+        found = compose.cluster_patches(
+            store.rows(run), a.out, store, run, meta, listed, a.folder, a.samples, vars(a), components=a.pca, min_cluster_size=a.min_cluster_size,
+            min_samples=a.min_samples, selection=a.selection, seed=a.seed, layout=a.layout,
+        )
         done |= {"motifs": found.clusters, "noise": found.noise}
     elif a.command == "check":
-        rows = RunStore(spark, a.root).load(a.run_id)
-        done |= checks.vector_checks(rows, "image_id", "embedding", a.dimension).first().asDict() | checks.norm_stats(rows, "embedding").first().asDict()
+        store = RunStore(spark, a.root)
+        run = store.resolve(a.run_id, "vectors")
+        rows = store.load(run)
+        done |= checks.vector_checks(rows, "image_id", "embedding", compose.expected_dimension(store, run, a.dimension or None) or 0).first().asDict() | checks.norm_stats(rows, "embedding").first().asDict()
         done["pairs"] = [r.asDict() for r in checks.random_pairs(rows, "image_id", "embedding", a.pairs, a.seed).collect()]
     else:
-        flat = apply.flat_patches(RunStore(spark, a.root, "patches", schemas.PATCHES + ", run_id STRING").rows(a.run_id))
-        done |= checks.patch_count_stats(flat, "image_id").first().asDict()
+        store = _patches(spark, a.root)
+        run = store.resolve(a.run_id, "patches")
+        done |= compose.check_patches(store.rows(run), compose.expected_dimension(store, run, a.dimension or None), a.pairs, a.seed)
     print(json.dumps(done, default=str, ensure_ascii=False))
     return done
 

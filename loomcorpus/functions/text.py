@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomcorpus.schemas import MODEL_DIMENSIONS
+
 KEY_PATTERN = r"viewkey=([a-zA-Z0-9]+)"
 FENCE = "```"
 
@@ -120,3 +122,9 @@ def cut_raw(raw: Column, failed_request: Column | None = None, limit: int = 2000
 def group_label(group: Column) -> Column:
     """``noise`` for -1, else the number."""
     return F.when(group == -1, F.lit("noise")).otherwise(group.cast("string"))
+
+
+def model_dimension(model: Column) -> Column:
+    """Vector length of a known model, else null."""
+    known = F.create_map(*[F.lit(x) for pair in MODEL_DIMENSIONS.items() for x in pair])
+    return F.try_element_at(known, model)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 FETCHED = "url string, key string, thumbnail_url string, content binary, success boolean, error string"
 ANNOTATED = "image_id string, raw_output string, success boolean, request_error boolean, request_seconds double"
 EMBEDDED = "image_id string, embedding array<float>, ok boolean, error string, seconds double"
-PATCHED = "image_id string, grid_shape struct<h:int,w:int>, patch_size int, patches array<struct<row:int,col:int,vec:array<float>>>, ok boolean, error string"
+PATCHED = "image_id string, grid_shape struct<h:int,w:int>, patch_size int, patches array<struct<row:int,col:int,vec:array<float>>>, ok boolean, error string, seconds double"
 
 
 def fetch(rows: DataFrame, factory: Callable[[], Callable[[str], tuple[int, str, bytes]]], page_image: Callable[[bytes], str | None], template: str = "{a}/{b}/{c}/{key}") -> DataFrame:
@@ -120,13 +120,14 @@ def embed_patches(rows: DataFrame, factory: Callable[[], Callable[[str], tuple]]
         for part in parts:
             out = []
             for ident, path in zip(part["image_id"], part["__source"], strict=True):
+                began = time.perf_counter()
                 try:
                     tokens, grid, content = model(path)
                     cells = [{"row": r, "col": c, "vec": v} for r, c, v in patch_vectors(tokens, grid, content, skip)]
-                    out.append((ident, {"h": grid[0], "w": grid[1]}, patch_size, cells, True, None))
+                    out.append((ident, {"h": grid[0], "w": grid[1]}, patch_size, cells, True, None, time.perf_counter() - began))
                 except Exception as e:  # noqa: BLE001
-                    out.append((ident, None, patch_size, None, False, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["image_id", "grid_shape", "patch_size", "patches", "ok", "error"])
+                    out.append((ident, None, patch_size, None, False, f"{type(e).__name__}: {e}", time.perf_counter() - began))
+            yield pd.DataFrame(out, columns=["image_id", "grid_shape", "patch_size", "patches", "ok", "error", "seconds"])
 
     return rows.select("image_id", F.col(source).alias("__source")).mapInPandas(run, PATCHED)
 

@@ -59,24 +59,37 @@ def best_patch(patches: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     return best.select("motif_id", "image_id", F.col("b.r").alias("best_patch_row"), F.col("b.c").alias("best_patch_col"), (-F.col("b.p")).alias("best_patch_probability"))
 
 
-def with_paths(frame: DataFrame, patches: DataFrame) -> DataFrame:
-    """Blank ``thumbnail_path`` filled with the smallest path that the patches of an image carry."""
-    paths = patches.where(~is_blank(F.col("thumbnail_path"))).groupBy("image_id").agg(F.min("thumbnail_path").alias("__path"))
+def _cells_by_image(patches: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, motif_id) with count, fraction, best cell and the image's smallest path, in one pass over the cells."""
+    key = F.struct((-F.col("motif_probability")).alias("p"), F.col("patch_row").alias("r"), F.col("patch_col").alias("c"), *[F.col(t) for t in ties])
+    path = F.min(F.when(~is_blank(F.col("thumbnail_path")), F.col("thumbnail_path")))
+    both = patches.groupBy("image_id", "motif_id").agg(F.count("*").alias("patch_count"), F.min(key).alias("b"), path.alias("__path"))
+    image = W.partitionBy("image_id")
+    both = both.withColumn("patch_fraction", F.round(F.col("patch_count") / F.sum("patch_count").over(image), 4)).withColumn("__path", F.min("__path").over(image))
+    return both.select("image_id", "motif_id", "patch_count", "patch_fraction", F.col("b.r").alias("best_patch_row"), F.col("b.c").alias("best_patch_col"), (-F.col("b.p")).alias("best_patch_probability"), "__path")
+
+
+def _with_metadata(frame: DataFrame, metadata: DataFrame) -> DataFrame:
+    both = frame.join(metadata, "image_id", "left")
     own = F.when(~is_blank(F.col("thumbnail_path")), F.col("thumbnail_path"))
-    return frame.join(paths, "image_id", "left").withColumn("thumbnail_path", F.coalesce(own, "__path")).drop("__path")
+    return both.withColumn("thumbnail_path", F.coalesce(own, "__path")).drop("__path")
+
+
+def cell_links(patches: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Every (image, motif) with its count, fraction and best cell, without metadata."""
+    return _cells_by_image(patches, ties).drop("__path")
 
 
-def image_links(histogram: DataFrame, patches: DataFrame, metadata: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+def image_links(patches: DataFrame, metadata: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """Every (motif, image) with metadata, its best cell and a path."""
-    both = histogram.join(metadata, "image_id", "left").join(best_patch(patches, ties), ["motif_id", "image_id"], "left")
-    return with_paths(both, patches)
+    return _with_metadata(_cells_by_image(patches, ties), metadata)
 
 
-def top_images(histogram: DataFrame, patches: DataFrame, metadata: DataFrame, n: int = 12, ties: tuple[str, ...] = ()) -> DataFrame:
-    """The ``n`` images of each motif with the largest share; the cut comes before the joins."""
+def top_images(patches: DataFrame, metadata: DataFrame, n: int = 12, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The ``n`` images of each motif with the largest share; the cut comes before the join."""
     order = W.partitionBy("motif_id").orderBy(F.desc("patch_fraction"), F.desc("patch_count"), "image_id")
-    top = histogram.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return image_links(top, patches, metadata, ties)
+    top = _cells_by_image(patches, ties).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return _with_metadata(top, metadata)
 
 
 def top_samples(assignments: DataFrame, n: int = 12, group: str = "cluster_id", score: str = "cluster_probability", ident: str = "image_id") -> DataFrame:
@@ -89,3 +102,19 @@ def top_patches(patches: DataFrame, n: int = 12, ties: tuple[str, ...] = ()) ->
     """The ``n`` most probable cells of each motif."""
     order = W.partitionBy("motif_id").orderBy(F.desc("motif_probability"), "image_id", "patch_row", "patch_col", *ties)
     return patches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def with_cells(frame: DataFrame) -> DataFrame:
+    """Rows that name a cell; those whose place is null are skipped."""
+    return frame.dropna(subset=["best_patch_row", "best_patch_col"])
+
+
+def resolved_paths(items: DataFrame, known: DataFrame, listing: DataFrame | None = None, folder: str = "") -> DataFrame:
+    """(image_id, thumbnail_path): the known path, else the name below ``folder`` if it is listed, else blank."""
+    own = known.where(~is_blank(F.col("thumbnail_path"))).groupBy("image_id").agg(F.min("thumbnail_path").alias("__own"))
+    out = items.select("image_id").distinct().join(own, "image_id", "left").withColumn("__want", F.concat(F.lit(folder.rstrip("/") + "/"), "image_id"))
+    there = F.lit(None).cast("string")
+    if listing is not None:
+        out = out.join(listing.select(F.col("path").alias("__there")).distinct(), F.col("__want") == F.col("__there"), "left")
+        there = F.col("__there")
+    return out.select("image_id", F.coalesce("__own", there, F.lit("")).alias("thumbnail_path"))

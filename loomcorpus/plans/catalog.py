@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
@@ -173,17 +173,31 @@ def annotation_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN text WHEN text <> '' THEN substring(text, 1, 2000) END AS raw_output FROM conversations
+WITH c AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN repeat(text, 60) ELSE text END AS text FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN text WHEN text <> '' THEN substring(text, 1, 2000) END AS raw_output FROM c
 """)
 def cut_raw_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.cut_raw(F.col("text"), F.col("role") == "system").alias("raw_output"))
+    """Empty, very long and other outputs, by turn."""
+    text = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.repeat("text", F.lit(60))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.cut_raw(text, F.col("role") == "system").alias("raw_output"))
 
 
 @query(r"""
-SELECT page_id, nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset, nullif(regexp_extract(html, '(?i)<meta\b[^>]*\bproperty\s*=\s*["'']og:image["''][^>]*content="([^"]*)"', 1), '') AS image FROM pages
+WITH p AS (SELECT page_id, html FROM pages)
+SELECT page_id, nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset,
+  CASE page_id % 6 WHEN 0 THEN 'http://i/' || page_id || '.jpg?a=1&b=2' WHEN 1 THEN 'it"' || page_id || '.png' WHEN 2 THEN 'plain' || page_id WHEN 3 THEN 'a > b''s' END AS image
+FROM p
 """)
 def html_meta_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.first_group(F.col("html"), '<meta charset="([^"]*)"').alias("charset"), T.meta_content(F.col("html")).alias("image"))
+    """Pages with a picture named in each way of quoting, under another attribute, or empty."""
+    ident = F.col("page_id").cast("string")
+    named = [
+        F.concat(F.lit('<meta property="og:image" content="http://i/'), ident, F.lit('.jpg?a=1&amp;b=2">')), F.concat(F.lit("<META content='it\""), ident, F.lit(".png' property='og:image'/>")),
+        F.concat(F.lit("<meta property=og:image content=plain"), ident, F.lit(">")), F.lit('<meta name="x" content="y"><meta content="a > b&#39;s" property="og:image">'),
+        F.lit('<meta name="og:image" content="no">'), F.lit('<meta property="og:image" content="">'),
+    ]
+    html = F.concat(F.element_at(F.array(*named), (F.col("page_id") % 6 + 1).cast("int")), "html")
+    return table(spark, sf_dir, "pages").select("page_id", T.first_group(F.col("html"), '<meta charset="([^"]*)"').alias("charset"), T.meta_content(html).alias("image"))
 
 
 @query("""
@@ -291,14 +305,12 @@ def best_patch_per_motif_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MOTIFS} SELECT * FROM k")
 def motif_image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patches = _patches(spark, sf_dir)
-    return tables.image_links(tables.motif_histogram(patches), patches, _metadata(spark, sf_dir))
+    return tables.image_links(_patches(spark, sf_dir), _metadata(spark, sf_dir))
 
 
 @query(f"""WITH {MOTIFS}, r AS (SELECT *, row_number() OVER (PARTITION BY motif_id ORDER BY patch_fraction DESC, patch_count DESC, image_id)::INT AS rank FROM k) SELECT * FROM r WHERE rank <= 12""")
 def motif_top_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patches = _patches(spark, sf_dir)
-    return tables.top_images(tables.motif_histogram(patches), patches, _metadata(spark, sf_dir))
+    return tables.top_images(_patches(spark, sf_dir), _metadata(spark, sf_dir))
 
 
 @query(f"""WITH {MOTIFS}, r AS (SELECT motif_id, image_id, patch_row, patch_col, motif_probability, row_number() OVER (PARTITION BY motif_id ORDER BY motif_probability DESC, image_id, patch_row, patch_col)::INT AS rank FROM p)
@@ -340,7 +352,7 @@ def montage_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MOTIFS} SELECT motif_id, image_id, best_patch_col * 16 AS x0, best_patch_row * 16 AS y0, (best_patch_col + 1) * 16 AS x1, (best_patch_row + 1) * 16 AS y1, image_id || '_' || printf('%.3f', patch_fraction) || '.jpg' AS name FROM k")
 def highlight_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motif_image_links(spark, sf_dir).select("motif_id", "image_id", *layout.cell_box(F.col("best_patch_row"), F.col("best_patch_col"), 16), layout.preview_name(F.col("image_id").cast("string"), F.col("patch_fraction")).alias("name"))
+    return tables.cell_links(_patches(spark, sf_dir)).select("motif_id", "image_id", *layout.cell_box(F.col("best_patch_row"), F.col("best_patch_col"), 16), layout.preview_name(F.col("image_id").cast("string"), F.col("patch_fraction")).alias("name"))
 
 
 # vectors
@@ -348,14 +360,27 @@ def highlight_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
-@query(f"SELECT count(*) AS vectors, count(*) AS finite, round(min({NORM}), 6) AS min_norm, round(max({NORM}), 6) AS max_norm, round(avg({NORM}), 6) AS mean_norm FROM embeddings")
+FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+@query(f"SELECT count(*) AS vectors, count_if({FINITE})::BIGINT AS finite, round(min({NORM}), 6) AS min_norm, round(max({NORM}), 6) AS max_norm, round(avg({NORM}), 6) AS mean_norm FROM embeddings")
 def vector_norm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.norm_stats(table(spark, sf_dir, "embeddings"), "embedding")
 
 
-@query(f"SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, count_if(len(embedding) <> 64)::BIGINT AS wrong_dim, 0::BIGINT AS not_finite, count_if({NORM} = 0)::BIGINT AS zero_norm, count(*) = count(DISTINCT vec_id) AND count_if(len(embedding) <> 64) = 0 AS ok FROM embeddings")
+@query(f"""WITH e AS (SELECT vec_id, CASE vec_id % 50 WHEN 0 THEN list_transform(embedding, lambda x: 'NaN'::FLOAT) WHEN 1 THEN embedding[1:63] WHEN 2 THEN list_transform(embedding, lambda x: 0::FLOAT)
+  WHEN 3 THEN list_transform(embedding, lambda x: 'Infinity'::FLOAT) ELSE embedding END AS embedding FROM embeddings)
+SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, count_if(len(embedding) <> 64)::BIGINT AS wrong_dim, count_if(NOT {FINITE})::BIGINT AS not_finite, count_if({NORM} = 0)::BIGINT AS zero_norm,
+  count(*) = count(DISTINCT vec_id) AND count_if(len(embedding) <> 64) = 0 AND count_if(NOT {FINITE}) = 0 AS ok FROM e""")
 def embedding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.vector_checks(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    """Vectors of which some are too short, zero, not numbers or not finite."""
+    of, vec = F.col("vec_id") % 50, F.col("embedding")
+
+    def all_(x: str) -> Column:
+        return F.transform(vec, lambda _: F.lit(x).cast("float"))
+
+    made = F.when(of == 0, all_("NaN")).when(of == 1, F.slice(vec, 1, 63)).when(of == 2, all_("0")).when(of == 3, all_("Infinity")).otherwise(vec)
+    return checks.vector_checks(table(spark, sf_dir, "embeddings").withColumn("embedding", made), "vec_id", "embedding", 64)
 
 
 @query("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)

@@ -40,10 +40,13 @@ def archive(spark: SparkSession, source: str, target: str) -> bool:
 def scatter_svg(points: DataFrame, path: str, title: str = "", limit: int = 20_000) -> dict[str, int]:
     """A scatter plot of (cluster_id, umap_x, umap_y) as SVG; noise is grey. Returns rows per group.
 
-    Only for display: at most ``limit`` points are drawn, the counts are of all.
+    Only for display: at most ``limit`` points are drawn, which the title then says; the counts
+    are of all.
     """
     counts = {("noise" if r["cluster_id"] == -1 else str(r["cluster_id"])): r["count"] for r in points.groupBy("cluster_id").count().orderBy("cluster_id").collect()}
     rows = points.select("cluster_id", "umap_x", "umap_y").limit(limit).collect()
+    if len(rows) < sum(counts.values()):
+        title += f" ({len(rows)} of {sum(counts.values())} points drawn)"
     xs, ys = [r["umap_x"] for r in rows] or [0.0], [r["umap_y"] for r in rows] or [0.0]
     sx, sy = (max(xs) - min(xs)) or 1.0, (max(ys) - min(ys)) or 1.0
     dots = []
