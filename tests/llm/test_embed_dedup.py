@@ -32,3 +32,38 @@ def test_copies_and_null_ids(spark):
     got = sorted((r.n_links, r.component_id or -1, r.kept) for r in embed_dedup.linked(df, Scratch(spark, "t")).collect())
     assert got == [(0, -1, False), (2, 2, False), (2, 2, False), (2, 2, True)]
     assert embed_dedup.linked(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def grouped_vectors(groups, each, dims, spread, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    return np.concatenate([c + rng.normal(size=(each, dims)) * spread for c in centres])
+
+
+def test_query_equals_sql_on_linked_vectors(spark, tmp_path):
+    """The registered query and its SQL on a table that has links."""
+    import duckdb
+
+    from loomcorpus.llm.queries import ORACLE, QUERIES
+
+    x = grouped_vectors(40, 6, 64, 0.27).astype(np.float32)
+    rows = [(i, [float(v) for v in e], None if i % 97 == 0 else i % 3 // 2) for i, e in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in QUERIES["op1_embedding_dedup"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLE["op1_embedding_dedup"]).fetchall())
+    assert got == want and sum(n for _, n, _, _ in got) > 200
+
+
+def test_cells_rule_out_most_of_separate_vectors():
+    """Vectors in separate groups hardly visit a second cell; long vectors take no table of all centres."""
+    import pyarrow as pa
+
+    x = grouped_vectors(32, 60, 1024, 0.1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = embed_dedup.centres(x, 32)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(x)), pa.array(range(len(x))), pa.array([1] * len(x)), pa.array(list(x))], ["label", "id", "m", "vec"])
+    placed = sum(b.num_rows for b in embed_dedup._assign(found, 0.93)([batch]))
+    # a cell may hold two groups; all pairs would be 32 visits each
+    assert len(x) <= placed <= 2 * len(x)
