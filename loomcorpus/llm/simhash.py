@@ -9,8 +9,8 @@ links it found, never all pairs.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; a null ``doc_id`` takes part but is never the smallest id (its component is null
-if no document of its group has an id); rows that repeat an id count once more; an empty table
-gives no rows; other columns are not read.
+if no document of its group has an id); rows that repeat an id count once more; texts of any
+length are taken whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from loomcorpus.llm.shared import Scratch, connected_components
 
 BITS = 64
 SEED = 42
+LAST = 2**63 - 1
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -48,16 +49,19 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): every document's fingerprint as a signed long."""
+    """(doc_id, fp, rid): every document's fingerprint, and its text's hash as the engine has it, as signed longs."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for b in batches:
-            found = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            texts = b.column(1).to_pylist()
+            found = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            own = np.array([SEED if t is None else xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array(own, pa.int64())], ["doc_id", "fp", "rid"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, rid long")
 
 
 def block_keys(fp, distance: int, blocks: int):
@@ -154,8 +158,8 @@ def _links(distance: int, small: int = 8):
     return run
 
 
-def grouped(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int = 4, blocks: int = 6, part: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; component_id is its group's smallest doc_id.
+def _components(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int = 4, blocks: int = 6, part: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, rid) of every document and (fp, first, component) of every fingerprint.
 
     blocks: at 6 and distance 4 a key has 21 or 22 bits; more blocks give longer keys and more
     of them, for tables of many millions of different texts. part: fingerprints of a bucket that
@@ -173,20 +177,31 @@ def grouped(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int = 4
     links = dealt.mapInArrow(_links(distance), "a long, b long")
     found = connected_components(links, scratch)
     labelled = classes.join(found.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    labelled = scratch.keep(labelled)
+    return fps, scratch.keep(labelled)
+
+
+def grouped(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """(doc_id, fp, component_id) of every document; component_id is its group's smallest doc_id.
+
+    options: ``words`` of a shingle, ``distance``, ``blocks`` and ``part``.
+    """
+    fps, labelled = _components(docs, scratch, **options)
     firsts = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = labelled.join(firsts, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def kept_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """One document of each group, with all columns: the one with the smallest doc_id.
+    """One document of each group, with all columns: that of the smallest doc_id, then of the smaller text hash.
 
-    Rows that repeat that id count as one; documents without an id stay.
+    Documents without an id come after all others. Rows equal in id and text are one document, of
+    which one row stays; rows that share an id or have none, with texts of different groups, stay
+    for each group that they are the first of.
     """
-    from pyspark.sql import Window as W
-
-    ids = grouped(docs, scratch, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    one = named.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
-    return one.unionByName(docs.where("doc_id is null"))
+    fps, labelled = _components(docs, scratch, **options)
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "rid")
+    tops = fps.groupBy("fp").agg(F.min(place).alias("top")).join(labelled.select("fp", "component"), "fp").groupBy("component").agg(F.min("top").alias("top"))
+    stay = scratch.keep(tops.select(F.col("top.id").alias("__id"), F.col("top.rid").alias("__rid")))
+    known = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__text", F.xxhash64("text"))
+    one = known.join(stay, (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__rid")), "left_semi").dropDuplicates(["__doc", "__text"])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
