@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from loomcorpus import compose, schemas
+from loomcorpus import compose, pictures, schemas
 from loomcorpus.functions.text import utc_run_id
 from loomcorpus.operators import acquire, apply, checks, reports, sampling, tables, validity
 from loomcorpus.session import session
@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     command("sample", input=str, output=str, per_year=2500, years=5, seed=42)
     command("scrape", input=str, root=str, listing=str, folder="thumbnails", factory=str, every=10, limit=0, log=None)
     command("annotate", csv=str, listing=str, folder="thumbnails", out=str, factory=str, prompt=None, model="", temperature=0.0, every=1000, limit=0, force=False, dry_run=False)
-    command("preview", folder=str, limit=10, seed=42, min_bytes=4096, include_placeholders=False)
+    command("preview", folder=str, limit=10, seed=42, min_bytes=4096, output=None, decoder=None, include_placeholders=False)
     command("extract", csv=str, listing=str, folder="thumbnails", root=str, factory=str, limit=0, min_bytes=4096, every=1000, model="", force=False, dry_run=False, run_id=None)
     command("extract-patches", root=str, embeddings_run_id=str, csv=str, listing=str, folder="thumbnails", factory=str, patch_size=16, limit=0, min_bytes=4096, every=1000, model="", force=False, dry_run=False, run_id=None)
     command("cluster", root=str, run_id=None, out=str, metadata=None, method="hdbscan", pca=50, min_cluster_size=3, min_samples=1, selection="leaf", n_clusters=40, samples=12, seed=42, layout=False)
@@ -99,6 +99,9 @@ def main(argv: Sequence[str] | None = None) -> dict:
         judged = found.withColumn("v", validity.validity(F.col("length"), F.col("width"), F.col("height"), min_bytes=a.min_bytes))
         rows = sampling.uniform(judged if a.include_placeholders else judged.where("v.ok"), "path", a.limit, a.seed)
         done["pictures"] = [r.asDict(True) for r in rows.collect()]
+        if a.output:
+            contents = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(a.folder).join(rows.select("path"), "path", "left_semi")
+            done["written"] = pictures.write(pictures.previews(contents, min_bytes=a.min_bytes, decoder=_factory(a.decoder) if a.decoder else None), a.output)
     elif a.command in ("extract", "extract-patches"):
         patches = a.command == "extract-patches"
         store = _patches(spark, a.root) if patches else RunStore(spark, a.root)

@@ -6,6 +6,8 @@ else is numpy on ``uint8`` arrays of shape (height, width, 3).
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -73,9 +75,6 @@ def letterbox(image: np.ndarray, fill: int = 0) -> tuple[np.ndarray, int]:
     """(square picture with the image in its middle, rows of padding above)."""
     h, w = image.shape[:2]
     side = max(h, w)
-    scale = side / max(h, w)
-    image = resize(image, round(w * scale), round(h * scale))
-    h, w = image.shape[:2]
     top, left = (side - h) // 2, (side - w) // 2
     out = np.full((side, side, 3), fill, np.uint8)
     out[top : top + h, left : left + w] = image
@@ -91,7 +90,7 @@ def preprocess(data: bytes, target: int = 518, min_bytes: int = 4096, size: tupl
     if (w, h) != size:
         raise ValueError(f"unexpected_size:{w}x{h}")
     square, top = letterbox(image)
-    return {"image": resize(square, target, target), "source_size": (w, h), "source_bytes": len(data), "square_size": square.shape[0], "target_size": target, "letterbox_pad_top": top}
+    return {"image": resize(square, target, target), "file": {"bytes": len(data), "width": w, "height": h}, "frame": {"side": square.shape[0], "above": top, "target": target}}
 
 
 def normalise(image: np.ndarray, mean: tuple[float, float, float] = (0.485, 0.456, 0.406), std: tuple[float, float, float] = (0.229, 0.224, 0.225)) -> np.ndarray:
@@ -99,6 +98,17 @@ def normalise(image: np.ndarray, mean: tuple[float, float, float] = (0.485, 0.45
     return ((image / 255.0 - np.array(mean)) / np.array(std)).transpose(2, 0, 1).astype(np.float32)
 
 
+def png(image: np.ndarray) -> bytes:
+    """A picture of bytes in three channels as a PNG file."""
+    h, w = image.shape[:2]
+
+    def part(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(image, np.uint8).reshape(h, 3 * w)], axis=1)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
+
+
 def crop_cell(image: np.ndarray, row: int, col: int, patch: int = 16, upscale: int = 8) -> np.ndarray:
     cell = image[row * patch : (row + 1) * patch, col * patch : (col + 1) * patch]
     return resize(cell, cell.shape[1] * upscale, cell.shape[0] * upscale, nearest=True)

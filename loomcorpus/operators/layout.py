@@ -13,8 +13,7 @@ def letterbox(df: DataFrame, width: str, height: str, target: Column) -> DataFra
     Halves are rounded to even, as pixel sizes are; floor division places the content.
     """
     side = F.greatest(F.col(width), F.col(height)).cast("int")
-    scale = side.cast("double") / F.greatest(F.col(width), F.col(height))
-    df = df.withColumn("side", side).withColumn("new_w", F.bround(F.col(width) * scale).cast("int")).withColumn("new_h", F.bround(F.col(height) * scale).cast("int"))
+    df = df.withColumn("side", side).withColumn("new_w", F.col(width).cast("int")).withColumn("new_h", F.col(height).cast("int"))
     df = df.withColumn("pad_left", F.floor((F.col("side") - F.col("new_w")) / 2).cast("int")).withColumn("pad_top", F.floor((F.col("side") - F.col("new_h")) / 2).cast("int"))
     ratio = target.cast("double") / F.col("side")
     return df.withColumn("content_top", F.bround(F.col("pad_top") * ratio).cast("int")).withColumn("content_h", F.bround(F.col("new_h") * ratio).cast("int"))

@@ -216,7 +216,7 @@ def test_pixels():
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x01\x68\x02\x80\x03" + b"\0" * 9
     assert images.header_size(jpeg) == (640, 360) and images.header_size(b"junk") is None
     out = images.preprocess(b"x" * 5000, 32, decoder=lambda _: np.zeros((360, 640, 3)))
-    assert out["image"].shape == (32, 32, 3) and out["letterbox_pad_top"] == 140
+    assert out["image"].shape == (32, 32, 3) and out["frame"] == {"side": 640, "above": 140, "target": 32}
     with pytest.raises(ValueError, match="too_small"):
         images.preprocess(b"x")
 
