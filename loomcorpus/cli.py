@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, default=value if not isinstance(value, type) else None, type=value if isinstance(value, type) else (str if value is None else type(value)), required=isinstance(value, type))
 
     command("sample", input=str, output=str, per_year=2500, years=5, seed=42)
-    command("scrape", input=str, root=str, listing=str, folder="thumbnails", factory=str, every=10, limit=0, log=None)
+    command("scrape", input=str, root=str, listing=str, folder="thumbnails", factory=str, every=10, limit=0, delay=5.0, log=None)
     command("annotate", csv=str, listing=str, folder="thumbnails", out=str, factory=str, prompt=None, model="", temperature=0.0, every=1000, limit=0, force=False, dry_run=False)
     command("preview", folder=str, limit=10, seed=42, min_bytes=4096, output=None, decoder=None, include_placeholders=False)
     command("extract", csv=str, listing=str, folder="thumbnails", root=str, factory=str, limit=0, min_bytes=4096, every=1000, model="", force=False, dry_run=False, run_id=None)
@@ -122,7 +122,7 @@ def main(argv: Sequence[str] | None = None) -> dict:
     elif a.command == "scrape":
         rows = files.csv(spark, a.input, schemas.METADATA)
         listed = spark.read.schema("path STRING, length BIGINT").parquet(a.listing)
-        done |= compose.Acquisition(spark, a.root).run(rows, listed, a.folder, _factory(a.factory), a.every, a.limit, compose.dual_log("loomcorpus.scrape", a.log))
+        done |= compose.Acquisition(spark, a.root).run(rows, listed, a.folder, _factory(a.factory), a.every, a.limit, compose.dual_log("loomcorpus.scrape", a.log), a.delay)
     elif a.command == "cluster":
         store = RunStore(spark, a.root)
         run = store.resolve(a.run_id, "vectors")

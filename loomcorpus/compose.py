@@ -101,7 +101,7 @@ class Acquisition:
         changed = found.where(flag).count() + new
         return (self.put(found.drop("reconciled")) if old is None or changed else old), changed
 
-    def run(self, incoming: DataFrame, listing: DataFrame, folder: str, factory: Callable, every: int = 10, limit: int = 0, log: logging.Logger | None = None) -> dict:
+    def run(self, incoming: DataFrame, listing: DataFrame, folder: str, factory: Callable, every: int = 10, limit: int = 0, log: logging.Logger | None = None, delay: float = 0.0) -> dict:
         """Fetches what is left; returns the progress. Rows that are done or have no key are skipped."""
         log = log or dual_log("loomcorpus")
         frame, changed = self.frame(incoming, listing, folder)
@@ -110,7 +110,7 @@ class Acquisition:
         left = left.orderBy("url").limit(limit) if limit else left
         work = f"{self.root}/work/{uuid.uuid4().hex}"
         for k, part in enumerate(_parts(left, "url", every, f"{work}/todo")):
-            got = _written(apply.fetch(part, factory, page_image), f"{self.root}/fetched/{uuid.uuid4().hex}")
+            got = _written(apply.fetch(part, factory, page_image, delay=delay), f"{self.root}/fetched/{uuid.uuid4().hex}")
             news = got.where("success").select(F.col("url").alias("__url"), F.col("thumbnail_url").alias("__where"), T.local_path(folder, F.col("key")).alias("__path"))
             both = frame.join(news, F.col("url") == F.col("__url"), "left")
             both = both.withColumn("thumbnail_url", F.coalesce("__where", "thumbnail_url")).withColumn("thumbnail_path", F.coalesce("__path", "thumbnail_path"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +78,23 @@ def json_object(raw: Column) -> Column:
 REFERENCES = {"&quot;": '"', "&#34;": '"', "&#x22;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
 
 
+def json_object_lenient(raw: Column) -> Column:
+    """``json_slice`` as JSON text that also takes NaN, Infinity and repeated keys, of which the last counts; null if it is no object."""
+
+    @F.pandas_udf("string")
+    def parsed(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                found = json.loads(text) if text is not None else None
+            except ValueError:
+                found = None
+            return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) else None
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return parsed(json_slice(raw))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of a tag's attribute, in double, single or no quotes, as written; null without one."""
     found = [F.regexp_extract(tag, rf"(?i)[\s\"']{name}\s*=\s*{value}", 1) for value in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]

@@ -19,10 +19,11 @@ EMBEDDED = "image_id string, embedding array<float>, ok boolean, error string, s
 PATCHED = "image_id string, grid_shape struct<h:int,w:int>, patch_size int, patches array<struct<row:int,col:int,vec:array<float>>>, ok boolean, error string, seconds double"
 
 
-def fetch(rows: DataFrame, factory: Callable[[], Callable[[str], tuple[int, str, bytes]]], page_image: Callable[[bytes], str | None], template: str = "{a}/{b}/{c}/{key}") -> DataFrame:
+def fetch(rows: DataFrame, factory: Callable[[], Callable[[str], tuple[int, str, bytes]]], page_image: Callable[[bytes], str | None], template: str = "{a}/{b}/{c}/{key}", delay: float = 0.0) -> DataFrame:
     """Two ways to an image for each (url, key): a URL built from the key, else the page's own.
 
-    ``factory()`` gives a function url -> (status, content type, body).
+    ``factory()`` gives a function url -> (status, content type, body). delay: seconds that a task
+    rests after each row.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,6 +54,7 @@ def fetch(rows: DataFrame, factory: Callable[[], Callable[[str], tuple[int, str,
                         except Exception as e:  # noqa: BLE001
                             error = f"{type(e).__name__}: {e}"
                 out.append((url, key, where if found is not None else None, found, found is not None, error))
+                time.sleep(delay if key else 0)
             yield pd.DataFrame(out, columns=["url", "key", "thumbnail_url", "content", "success", "error"])
 
     return rows.select("url", "key").mapInPandas(run, FETCHED)

@@ -15,9 +15,13 @@ def large_enough(length: Column, min_bytes: int = MIN_BYTES) -> Column:
     return F.coalesce(length >= min_bytes, F.lit(False))
 
 
-def validity(length: Column, width: Column | None = None, height: Column | None = None, error: Column | None = None, min_bytes: int = MIN_BYTES, size: tuple[int, int] = SIZE) -> Column:
-    """``struct(ok, reason)``; the first of missing, too small, unreadable, wrong size that applies."""
-    reason = F.when(length.isNull(), F.lit("missing")).when(length < min_bytes, F.concat(F.lit("too_small:"), length.cast("string"), F.lit("B")))
+def validity(length: Column, width: Column | None = None, height: Column | None = None, error: Column | None = None, min_bytes: int = MIN_BYTES, stat_error: Column | None = None, size: tuple[int, int] = SIZE) -> Column:
+    """``struct(ok, reason)``; the first of missing, no status, too small, unreadable, wrong size that applies."""
+    no_status = F.lit(False) if stat_error is None else stat_error.isNotNull()
+    reason = F.when(length.isNull() & ~no_status, F.lit("missing"))
+    if stat_error is not None:
+        reason = reason.when(no_status, F.concat(F.lit("stat_error:"), stat_error))
+    reason = reason.when(length < min_bytes, F.concat(F.lit("too_small:"), length.cast("string"), F.lit("B")))
     if error is not None:
         reason = reason.when(error.isNotNull(), F.concat(F.lit("open_error:"), error))
     if width is not None and height is not None:

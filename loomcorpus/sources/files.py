@@ -28,10 +28,11 @@ def csv(spark: SparkSession, path: str, schema: str, strict: bool = False, ordin
     return rows.where(F.col(EXTRA).isNull()).drop(EXTRA)
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*.jpg", recursive: bool = False) -> DataFrame:
-    """(path, length) of files; contents are not read."""
+def listing(spark: SparkSession, folder: str, pattern: str = "*.jpg", recursive: bool = False, min_bytes: int = 0, ordered: bool = False) -> DataFrame:
+    """(path, length) of files of ``min_bytes`` or more, by path if ``ordered``; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
-    return files.select("path", "length")
+    found = files.select("path", "length").where(F.col("length") >= min_bytes)
+    return found.orderBy("path") if ordered else found
 
 
 def listing_with_sizes(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:

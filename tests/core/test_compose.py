@@ -82,7 +82,7 @@ def test_scrape(spark, tmp_path):
     pages = [("http://h/v?viewkey=abcdefghi1", "one"), ("http://h/v?viewkey=pagekey2", "two"), ("http://h/v?viewkey=never3", "three"), ("http://h/nokey", "four"), ("http://h/v?viewkey=ondisk4", "five")]
     (tmp_path / "in.csv").write_text("url,date,title,categories\n" + "".join(f"{u},2020-01-01,{t},c\n" for u, t in pages))
     spark.createDataFrame([("pics/ondisk4.jpg", 9)], "path string, length long").write.parquet(f"file://{tmp_path}/l")
-    run = ["scrape", "--input", f"{tmp_path}/in.csv", "--root", f"file://{tmp_path}/s", "--listing", f"file://{tmp_path}/l", "--folder", "pics", "--factory", "tests.core.test_compose:site", "--every", "2", "--log", f"{tmp_path}/log.txt"]
+    run = ["scrape", "--input", f"{tmp_path}/in.csv", "--root", f"file://{tmp_path}/s", "--listing", f"file://{tmp_path}/l", "--folder", "pics", "--factory", "tests.core.test_compose:site", "--every", "2", "--delay", "0.01", "--log", f"{tmp_path}/log.txt"]
     # the key has no path of its own at this site: the address of the picture is made of the key alone
     done = cli.main(run)
     assert (done["rows"], done["done"], done["remaining"]) == (5, 3, 2)

@@ -17,6 +17,11 @@ def test_json_object(spark, raw, want):
     assert one(spark, raw, lambda c: F.to_json(T.json_object(c))) == want
 
 
+@pytest.mark.parametrize(("raw", "want"), [('so: {"a": NaN, "b": 1, "b": 2}', '{"a": NaN, "b": 2}'), ('{"a": "é"}', '{"a": "é"}'), ("{1}", None), ("none", None), (None, None)])
+def test_lenient_json(spark, raw, want):
+    assert one(spark, raw, T.json_object_lenient) == want
+
+
 @pytest.mark.parametrize(("html", "want"), [
     ('<meta property="og:image" content="http://i/1.jpg">', "http://i/1.jpg"), ("<META content='x.png' property='og:image'/>", "x.png"), ('<meta property="og:image" content="">', None),
     ('<meta property="og:image" content="http://i/a.jpg?x=1&amp;y=2&#38;z=&quot;&#x27;">', "http://i/a.jpg?x=1&y=2&z=\"'"), ('<meta property="og:image" content="it\'s.jpg">', "it's.jpg"), ("<meta property=og:image content=http://i/2.jpg>", "http://i/2.jpg"),

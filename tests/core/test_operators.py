@@ -55,6 +55,15 @@ def test_validity_reasons(spark):
     assert got == ["missing", "too_small:4095B", "ok", "unexpected_size:639x360", "open_error:no size"]
 
 
+def test_stat_errors_and_ordered_listings(spark, tmp_path):
+    rows = spark.createDataFrame([(None, None), (None, "EIO"), (10, None), (9000, None)], "length long, err string")
+    got = [r.v.reason for r in rows.select(validity.validity(F.col("length"), stat_error=F.col("err")).alias("v")).collect()]
+    assert got == ["missing", "stat_error:EIO", "too_small:10B", "ok"]
+    for name, n in (("b.jpg", 9), ("a.jpg", 5000), ("c.jpg", 4096)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    assert [r.path.rsplit("/", 1)[-1] for r in files.listing(spark, f"file://{tmp_path}", min_bytes=4096, ordered=True).collect()] == ["a.jpg", "c.jpg"]
+
+
 def test_reports(spark):
     published = [(2020, 2500, 2224, 1639), (2021, 2500, 2249, 1655), (2022, 2500, 2200, 1660)]
     df = spark.createDataFrame([(y, i < r, i < v) for y, n, r, v in published for i in range(n)], "year int, r boolean, v boolean")
