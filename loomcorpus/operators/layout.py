@@ -40,6 +40,23 @@ def cell_box(row: Column, col: Column, patch: int) -> list[Column]:
     return [(col * patch).cast("int").alias("x0"), (row * patch).cast("int").alias("y0"), ((col + 1) * patch).cast("int").alias("x1"), ((row + 1) * patch).cast("int").alias("y1")]
 
 
+def fixed_places(x: Column, places: int) -> Column:
+    """A number as text, rounded as C does: by the exact binary value, ties to even.
+
+    The formats of Java round the shortest decimal text of a number instead, ties up.
+    """
+    scale, size = float(10**places), F.abs(x)
+    # both parts have so few bits that their products with the scale are exact
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    whole = F.floor(high * scale).cast("double")
+    over = (high * scale - whole - 0.5) + (size - high) * scale
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+    near = F.format_string(f"%.{places}f", (whole + up.cast("int")) / scale)
+    # beyond that, and without a finite value, there is nothing to round or no room for it
+    near = F.when(size < 2.0**40, near).otherwise(F.format_string(f"%.{places}f", size))
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), near))
+
+
 def preview_name(stem: Column, fraction: Column) -> Column:
     """File name that carries the fraction; ``na`` where there is none."""
-    return F.concat(stem, F.lit("_"), F.coalesce(F.format_string("%.3f", fraction), F.lit("na")), F.lit(".jpg"))
+    return F.concat(stem, F.lit("_"), F.coalesce(fixed_places(fraction, 3), F.lit("na")), F.lit(".jpg"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcorpus import cli, schemas
-from loomcorpus.operators import acquire, apply, clustering, hierarchy, images, reduce, reports, sampling, tables, validity
+from loomcorpus.operators import acquire, apply, clustering, hierarchy, images, layout, reduce, reports, sampling, tables, validity
 from loomcorpus.sources import files, sinks
 from loomcorpus.sources.runs import RunStore
 from loomcorpus.streaming import resume
@@ -213,6 +213,15 @@ def test_injected_functions(spark):
         apply.patch_vectors(tokens, (2, 2), [])
 
 
+def test_preview_names_round_as_c_does(spark):
+    fractions = [k / 10000 for k in range(10001)] + [k / 1024 for k in range(1024)] + [2.0**41, float("inf"), -0.0625]
+    df = spark.createDataFrame([(x,) for x in fractions] + [(None,)], "x double")
+    got = df.select("x", layout.preview_name(F.lit("i"), F.col("x")).alias("name")).collect()
+    wrong = [(r.x, r.name) for r in got if r.x not in (None, float("inf")) and r.name != f"i_{r.x:.3f}.jpg"]
+    assert not wrong
+    assert [r.name for r in got if r.x is None] == ["i_na.jpg"]
+
+
 def test_pixels():
     picture = np.zeros((36, 64, 3), np.uint8)
     picture[:, 32:] = 200
