@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
 from loomcorpus.functions import vectors as V
+from loomcorpus.functions.times import hour_of_millisecond
 from loomcorpus.operators import acquire, checks, layout, reports, sampling, tables, validity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,8 +411,9 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT epoch_ms((epoch_ms(ts) // 3600000) * 3600000)::TIMESTAMP AS hour, event_type, count(*) AS events FROM events GROUP BY ALL")
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"))
-    return out.select(F.col("w.start").alias("hour"), "event_type", "events")
+    events = table(spark, sf_dir, "events")
+    hour = hour_of_millisecond(F.col("ts"), zoned=dict(events.dtypes)["ts"] == "timestamp")
+    return events.groupBy(hour.alias("hour"), "event_type").agg(F.count("*").alias("events"))
 
 
 def _register_models() -> None:
