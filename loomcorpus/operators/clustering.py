@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcorpus.operators import hierarchy, reduce
+from loomcorpus.operators.nearest import over
 
 METHODS = ("kmeans", "hdbscan", "agglomerative")
 
@@ -41,12 +42,13 @@ def kmeans(df: DataFrame, vec: str, k: int, restarts: int = 10, seed: int = 42,
 
 def run(
     df: DataFrame, ident: str, vec: str, *, method: str = "hdbscan", components: int = 50, min_cluster_size: int = 3, min_samples: int = 1, selection: str = "leaf",
-    k: int | None = None, seed: int = 42, layout: bool = False, neighbors: int = 15, min_dist: float = 0.1, limit: int = 20_000,
+    k: int | None = None, seed: int = 42, layout: bool = False, neighbors: int = 15, min_dist: float = 0.1, limit: int | None = None,
 ) -> Clusters:
     """Reduces vectors and clusters them in the reduced space; the layout is for display only.
 
-    k-means and PCA are distributed. The density and Ward methods and the layout hold the
-    reduced vectors of at most ``limit`` items on the driver and refuse more.
+    k-means and PCA are distributed. The density and Ward methods and the layout hold the reduced
+    vectors on the driver; what compares all with all runs on the executors, in blocks. A caller
+    may set a ``limit`` to the items.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
@@ -57,21 +59,24 @@ def run(
         labelled, _ = kmeans(reduced, "pca", k, seed=seed)
         out = labelled.select(ident, F.col("cluster_id").cast("int").alias("cluster_id"), F.lit(1.0).alias("cluster_probability"), F.lit(0.0).alias("umap_x"), F.lit(0.0).alias("umap_y"))
         return Clusters(out, used, explained, k, 0)
-    n = reduced.count()
-    if n > limit:
-        raise ValueError(f"{n} items; this method is for {limit} at most")
-    rows = reduced.select(ident, "pca").orderBy(ident).collect()
-    points = np.array([r["pca"] for r in rows], float).reshape(len(rows), -1)
+    if limit is not None and (n := reduced.count()) > limit:
+        raise ValueError(f"{n} items; asked for {limit} at most")
+    if method == "kmeans":
+        reduced = kmeans(reduced, "pca", k, seed=seed)[0]
+    columns = [F.col("cluster_id").cast("int").alias("cluster_id")] if method == "kmeans" else []
+    rows = reduced.select(ident, "pca", *columns).orderBy(ident).toArrow()
+    ids = rows[ident].to_pylist()
+    points = rows["pca"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+    each = over(df.sparkSession)
     if method == "hdbscan":
-        labels, probabilities = hierarchy.hdbscan(points, min_cluster_size, min_samples, selection, limit)
+        labels, probabilities = hierarchy.hdbscan(points, min_cluster_size, min_samples, selection, limit, each)
     elif method == "agglomerative":
-        labels, probabilities = hierarchy.ward(points, k), np.ones(len(points))
+        labels, probabilities = hierarchy.ward(points, k, limit, each), np.ones(len(points))
     else:
-        found = {r[ident]: r["cluster_id"] for r in kmeans(reduced, "pca", k, seed=seed)[0].select(ident, "cluster_id").collect()}
-        labels, probabilities = np.array([found[r[ident]] for r in rows]), np.ones(len(points))
-    xy = reduce.umap_layout(points, neighbors, min_dist, seed=seed) if layout else np.zeros((len(points), 2))
+        labels, probabilities = rows["cluster_id"].to_numpy(), np.ones(len(points))
+    xy = reduce.umap_layout(points, neighbors, min_dist, seed=seed, limit=limit, each=each) if layout else np.zeros((len(points), 2))
     kind = dict(df.dtypes)[ident]
-    data = [(r[ident], int(c), float(p), float(x), float(y)) for r, c, p, (x, y) in zip(rows, labels, probabilities, xy, strict=True)]
+    data = list(zip(ids, labels.tolist(), probabilities.tolist(), *xy.T.tolist(), strict=True))
     out = df.sparkSession.createDataFrame(data, f"{ident} {kind}, cluster_id int, cluster_probability double, umap_x double, umap_y double")
     return Clusters(out, used, explained, len(set(labels.tolist()) - {-1}), int((np.asarray(labels) == -1).sum()))
 

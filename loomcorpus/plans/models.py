@@ -47,19 +47,19 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def hdbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector of the table; refused above the operator's limit."""
+    """Every vector of the table."""
     return clustering.run(_vectors(spark, sf_dir), "vec_id", "embedding", method="hdbscan", components=20, min_cluster_size=5, min_samples=3, selection="eom").assignments
 
 
 @_query
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector of the table; refused above the operator's limit."""
+    """Every vector of the table."""
     return clustering.run(_vectors(spark, sf_dir), "vec_id", "embedding", method="agglomerative", components=20, k=10).assignments
 
 
 @_query
 def umap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector of the table; refused above the operator's limit."""
+    """Every vector of the table."""
     return clustering.run(_vectors(spark, sf_dir), "vec_id", "embedding", method="kmeans", components=20, k=10, layout=True).assignments
 
 
