@@ -74,7 +74,9 @@ def of_rows(shared: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(indexes, distances) of the nearest others of some rows, nearest first; ties go to the smaller index."""
     x, weight, k, metric = shared
     n = len(x)
-    squares = (x * x).sum(1)
+    # products cancel less about the mean
+    centred = x if metric == "cosine" else x - x.mean(0)
+    squares = (centred * centred).sum(1)
     # some more than are asked for, whose distances are then taken without cancellation
     some = min(k + 3, n - 1)
     index, dist = np.zeros((len(rows), some), int), np.zeros((len(rows), some))
@@ -82,11 +84,11 @@ def of_rows(shared: tuple, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = max(1, ELEMENTS // first)
     for at in range(0, len(rows), step):
         part = rows[at : at + step]
-        d = _close(x, squares, weight, part, slice(0, first), metric)
+        d = _close(centred, squares, weight, part, slice(0, first), metric)
         best = np.argpartition(d, some - 1, axis=1)[:, :some]
         value = np.take_along_axis(d, best, 1)
         for lo in range(first, n, COLUMNS):
-            d = _close(x, squares, weight, part, slice(lo, lo + COLUMNS), metric)
+            d = _close(centred, squares, weight, part, slice(lo, lo + COLUMNS), metric)
             row, column = np.nonzero(d < value.max(1)[:, None])
             if not len(row):
                 continue

@@ -1,6 +1,7 @@
 """The queries over all vectors of a small table."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomcorpus.operators import hierarchy
@@ -32,6 +33,27 @@ def test_every_vector_is_clustered(spark, vectors, name):
         assert sum(c >= 0 for c in found.values()) > 150
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """(folder, groups): 20,010 vectors in three groups, more than a driver compared all with all before."""
+    rng = np.random.default_rng(8)
+    group = np.arange(20_010) % 3
+    points = rng.normal(0, 20, (3, 6))[group] + rng.normal(0, 1, (len(group), 6))
+    root = str(tmp_path_factory.mktemp("many"))
+    frame = pd.DataFrame({"vec_id": range(len(group)), "embedding": points.tolist(), "label": 0})
+    spark.createDataFrame(frame, "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    return root, group
+
+
+@pytest.mark.parametrize("name", ["hdbscan_clusters"])
+def test_more_than_twenty_thousand_vectors(spark, many, name):
+    root, group = many
+    got = models.QUERIES[name](spark, root).toPandas().sort_values("vec_id")
+    assert got["vec_id"].tolist() == list(range(len(group)))
+    clusters = [ids.index for c, ids in got.set_index("vec_id").groupby("cluster_id") if c >= 0]
+    assert len(clusters) > 2 and all(len(set(group[ids])) == 1 for ids in clusters)
+
+
 @pytest.mark.parametrize("block", [40, 2048])
 def test_core_distance_of_every_vector(spark, vectors, block):
     root, points = vectors

@@ -126,6 +126,30 @@ def test_hdbscan_small_and_equal():
         hierarchy.hdbscan(np.zeros((9, 3)), limit=5)
 
 
+@pytest.mark.parametrize("shift", [0, 1e6])
+def test_hdbscan_is_the_same_by_blocks_and_orders(shift):
+    rng = np.random.default_rng(6)
+    x = np.round(np.repeat(rng.normal(0, 1, (300, 4)), rng.integers(1, 4, 300), axis=0), 2) + shift
+    core = hierarchy.core_distances(x, 3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.array_equal(core, np.sort(d, 1)[:, 3])
+    trees = [hierarchy.reachability_tree(x, core, block=b) for b in (50, 170, 6144)]
+    assert all(np.allclose(t[:, 2], trees[0][:, 2], rtol=0, atol=1e-7) for t in trees)
+    some, core = x[:120], hierarchy.core_distances(x[:120], 3)
+    assert abs(hierarchy.reachability_tree(some, core, block=50)[:, 2].sum() - naive_tree_weight(some, core)) < 1e-6
+    order = rng.permutation(len(x))
+    for selection in ("eom", "leaf"):
+        labels, p = hierarchy.hdbscan(x, 5, 3, selection)
+        other, q = hierarchy.hdbscan(x[order], 5, 3, selection)
+        pairs = set(zip(labels[order].tolist(), other.tolist(), strict=True))
+        assert labels.max() > 2 and len(pairs) == len(set(labels.tolist())) == len(set(other.tolist())) and np.allclose(p[order], q)
+
+
+def test_hdbscan_takes_equal_distances_apart_together():
+    x = np.array([(a, b) for a in range(30) for b in range(30)], float)
+    assert set(hierarchy.hdbscan(x, 5, 3, "leaf")[0]) == {-1}
+
+
 def test_ward_equals_naive():
     x = blobs(8)
     groups = [[i] for i in range(len(x))]
