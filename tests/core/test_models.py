@@ -45,7 +45,7 @@ def many(spark, tmp_path_factory):
     return root, group
 
 
-@pytest.mark.parametrize("name", ["hdbscan_clusters", "umap_layout"])
+@pytest.mark.parametrize("name", ["hdbscan_clusters", "umap_layout", "ward_clusters"])
 def test_more_than_twenty_thousand_vectors(spark, many, name):
     root, group = many
     got = models.QUERIES[name](spark, root).toPandas().sort_values("vec_id")

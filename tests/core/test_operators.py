@@ -164,6 +164,31 @@ def test_ward_equals_naive():
     assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels)}
 
 
+def test_ward_with_short_lists(monkeypatch):
+    """Lists too short to tell much make clusters search again and again; the merges stay those of all pairs."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(0, 1, (120, 3)), rng.integers(1, 4, 120), axis=0)
+    want = {k: hierarchy.ward(x, k) for k in (2, 7, 40)}
+    centre, size, merges = {i: p for i, p in enumerate(x)}, dict.fromkeys(range(len(x)), 1), []
+    while len(centre) > 1:
+        ids = np.array(list(centre))
+        c, s = np.array([centre[i] for i in ids]), np.array([size[i] for i in ids])
+        cost = ((c[:, None] - c[None]) ** 2).sum(2) * s[:, None] * s / (s[:, None] + s)
+        np.fill_diagonal(cost, np.inf)
+        a, b = sorted(ids[list(np.unravel_index(cost.argmin(), cost.shape))].tolist())
+        centre[a] = (size[a] * centre[a] + size[b] * centre.pop(b)) / (size[a] + size[b])
+        size[a] += size.pop(b)
+        merges.append((a, b))
+    for near in (1, 2, 12):
+        monkeypatch.setattr(hierarchy._Ward, "near", near)
+        for k in want:
+            of = np.arange(len(x))
+            for a, b in merges[: len(x) - k]:
+                of[of == b] = a
+            seen = {}
+            assert hierarchy.ward(x, k).tolist() == want[k].tolist() == [seen.setdefault(g, len(seen)) for g in of.tolist()]
+
+
 def test_pipeline_methods(spark):
     x = blobs()
     df = spark.createDataFrame([(f"i{n:03}", [float(v) for v in row]) for n, row in enumerate(x)], "image_id string, embedding array<float>")
