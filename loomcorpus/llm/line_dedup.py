@@ -9,8 +9,8 @@ rows with probability 0.985, at 0.85 with 0.997.
 
 Links join into components, of which the first line stays: that of the smallest doc_id, then of
 the smaller hash of the text, then the earlier line. A band is first compared with one leader, the
-line that meets most others. What is then still of different components is compared in pairs, the
-most alike first, where bitmaps of the shingles do not rule the similarity out; that bound is
+line that meets most others. What of the others is then still of different components is compared
+in pairs, the most alike first, where bitmaps of the shingles do not rule the similarity out; that bound is
 exact. Signatures that agree on fewer than half of the points go no further, which happens to a
 pair at 0.8 with a probability below 0.0001. All other pairs that share a band are verified, or
 ruled out, or of one component already.
@@ -200,17 +200,21 @@ def _components(lines: DataFrame, signed: DataFrame, scratch: Scratch, shingle:
     leaders = members.groupBy("band").agg(F.max(F.struct("meets", "id", "sig")).alias("top")).select("band", F.col("top.id").alias("leader"), F.col("top.sig").alias("led_sig"))
     points = bands * rows
     same = agreeing(F.col("sig"), F.col("led_sig"), points) >= points // 2
-    asked = members.join(scratch.keep(leaders), "band").where((F.col("id") != F.col("leader")) & same)
+    led = members.join(scratch.keep(leaders), "band").where(F.col("id") != F.col("leader"))
+    asked = led.where(same)
     links = _verified(_ordered(asked.select(F.col("leader").alias("a"), F.col("id").alias("b"))), texts, shingle, similarity)
     component = _relabelled(meets.select("id", F.col("id").alias("component")), links, scratch)
-    members = scratch.keep(_apart(ranked, component))
+    # the leader has met all of its band: what is left to compare is between the others
+    others = led.select("band", "id", "meets", "sig")
+    members = scratch.keep(_apart(others, component))
     if members.isEmpty():
         return component
+    others = members.select("band", "id", "meets", "sig")
     # then what is of different components, the most alike first: what they join is not met again
     left = texts.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
     maps = scratch.keep(bitmaps(left, shingle).join(meets.select("id", "sig"), "id"))
     for least in (*[x for x in STEPS if x > similarity], similarity):
-        open_ = _apart(ranked, component).select("band", "id", "component").join(maps, "id")
+        open_ = _apart(others, component).select("band", "id", "component").join(maps, "id")
         # pairs are many for few bytes: as many tasks as partitions, however small these are
         open_ = open_.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
         x = open_.select("band", F.col("id").alias("a"), F.col("component").alias("u"), F.col("sig").alias("f"), F.col("bits").alias("s"), F.col("ones").alias("p"), F.col("size").alias("m"))

@@ -152,3 +152,38 @@ def test_bitmaps_rule_out_no_pair(spark):
             jaccard = len(v & w) / len(v | w)
             assert pairs[i, j] or jaccard < 0.8
             assert not pairs[i, j] or jaccard > 0.7
+
+
+def test_leaders_are_met_once(spark, monkeypatch):
+    """Lines that only a leader was left to be compared with get no bitmap, the others of a band do."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def words(n):
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+
+    def changed(base, at):
+        copy = list(base)
+        for k in at:
+            copy[k] = words(1)[0]
+        return " ".join(copy)
+
+    asked = []
+    made = line_dedup.bitmaps
+    monkeypatch.setattr(line_dedup, "bitmaps", lambda texts, n: asked.append({r.text for r in texts.collect()}) or made(texts, n))
+    # pairs below the similarity that still share a band
+    lines = []
+    for _ in range(40):
+        base = words(40)
+        lines += [" ".join(base), changed(base, (3, 17, 30))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = line_dedup.grouped(docs, Scratch(spark, "t"), similarity=0.95).collect()
+    assert len(got) == 80 and all(r.kept for r in got)
+    assert not asked
+    # two copies of one base, both too far from it: they are alike and still found
+    base = words(60)
+    ends = [changed(base, range(40, 47)) for _ in range(1)] * 2
+    near = [ends[0], ends[1] + " " + words(1)[0]]
+    docs = spark.createDataFrame(list(enumerate([" ".join(base), *near])), "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.grouped(docs, Scratch(spark, "t"), similarity=0.9).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
